@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read_table
+from . import mixing, simhash
+from .common import materialize, read_table
+
+
+def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("_mix_size")))
+    return mixing.mix(sizes, weights=(1, 2, 3), cap=3.0).select(
+        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+        (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"), F.col("_mix_rate").alias("rate"), F.col("_mix_copies").alias("copies"),
+    )
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +28,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_entropy_mixing": op4_entropy_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
