@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash
+from . import langid, mixing, pii, simhash
 from .common import materialize, read_table
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], "base_sha256", "spans")
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("_mix_size")))
@@ -34,6 +41,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_spans": op2_pii_spans,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
