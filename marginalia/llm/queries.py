@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, simhash
+from . import langid, mixing, packing, pii, simhash
 from .common import materialize, read_table
 
 
@@ -40,10 +40,22 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path(), capacity=2048, end=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": op2_pii_spans,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_bin_completion": op10_bin_completion,
 }
 ORACLE_SQL: dict[str, str] = {}
