@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, simhash
+from . import langid, mixing, packing, pii, sharding, simhash
 from .common import materialize, read_table
 
 
@@ -33,6 +33,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sharding.shard_documents(docs, shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, radius=2).select(
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": op2_pii_spans,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
+    "op8_label_sharding": op8_label_sharding,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bin_completion": op10_bin_completion,
 }
