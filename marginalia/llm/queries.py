@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, sharding, simhash, toxicity
+from . import langid, mixing, packing, pii, sharding, simhash, spotsigs, toxicity
 from .common import materialize, read_table
 
 
@@ -41,6 +41,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.with_next(spotsigs.fingerprints(read_table(spark, sf_dir, "documents")), ["text", "signatures"])
+    rows = rows.withColumn("edited", spotsigs.edited_text())
+    rows = spotsigs.with_signatures(rows, "edited", "edited_signatures")
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint("signatures").alias("fingerprint"), spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
+        spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"), spotsigs.likeness("signatures", "next_signatures").alias("near_next"),
+    )
+
+
 def op8_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sharding.shard_documents(docs, shards=24).select(
@@ -71,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": op2_pii_spans,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
+    "op7_spotsigs": op7_spotsigs,
     "op8_label_sharding": op8_label_sharding,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bin_completion": op10_bin_completion,
