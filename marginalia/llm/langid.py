@@ -116,3 +116,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def relabel(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` (text, lang, ...) whose prediction is a language with at least this score, lang being the prediction."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+            new = pa.array([lang for lang, _ in found], pa.string())
+            keep = pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
+            yield batch.set_column(batch.schema.get_field_index("lang"), "lang", new).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
