@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, sharding, simhash, spotsigs, toxicity
+from . import langid, mixing, neighbours, packing, pii, sharding, simhash, spotsigs, toxicity
 from .common import materialize, read_table
 
 
@@ -41,6 +41,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.clean_vectors(read_table(spark, sf_dir, "embeddings"))
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), neighbours.fit(vectors), k=10)
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spotsigs.with_next(spotsigs.fingerprints(read_table(spark, sf_dir, "documents")), ["text", "signatures"])
     rows = rows.withColumn("edited", spotsigs.edited_text())
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_spans": op2_pii_spans,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
+    "op6_learned_partitions": op6_learned_partitions,
     "op7_spotsigs": op7_spotsigs,
     "op8_label_sharding": op8_label_sharding,
     "op9_simhash_dedup": op9_simhash_dedup,
