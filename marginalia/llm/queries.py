@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, pii, sharding, simhash, spotsigs, toxicity
+from . import langid, mixing, neighbours, packing, pii, quotes, sharding, simhash, spotsigs, toxicity
 from .common import materialize, read_table
 
 
@@ -26,6 +26,10 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], "base_sha256", "spans")
 
 
+def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sizes = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("_mix_size")))
@@ -85,6 +89,7 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kernel_toxicity": op1_kernel_toxicity,
     "op2_pii_spans": op2_pii_spans,
+    "op3_quote_linking": op3_quote_linking,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_language_id": op5_language_id,
     "op6_learned_partitions": op6_learned_partitions,
