@@ -1 +1 @@
-
+"""Pure text and Markdown functions and their Arrow UDFs."""

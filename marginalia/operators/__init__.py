@@ -1 +1 @@
-
+"""Search, links and project listings over a DataFrame of notes."""

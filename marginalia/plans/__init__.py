@@ -1 +1 @@
-
+"""Plans of several operators: context packages and project dossiers."""
