@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,18 @@ from .common import materialize, rank_within
 CAPACITY = 2048
 #: Fillings tried beside a document, steps of enumeration for them, and nodes of the whole search.
 BRANCHES, STEPS, NODES = 3, 400, 6_000
-#: Cached words of a tokenizer.
-CACHE = 600_000
-#: Splitting here never changes a word's tokens: the tokenizer drops white space, and words don't join across it.
-CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Cached words of a tokenizer, and texts that are encoded together.
+CACHE, SLICE = 1_000_000, 2500
+#: Letters followed by ASCII punctuation without an apostrophe: two words for the tokenizer, whatever the letters.
+TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Encoder:
-    """Little-endian ids of texts; words are looked up, unknown ones encoded together."""
+    """Little-endian ids of texts; words are looked up, unknown ones encoded together.
+
+    A word is a run between ASCII white space, its ASCII letters in lower case: the tokenizer ignores case and
+    white space and joins nothing across it.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,25 +50,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as bytes."""
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """Ids of each text (a string array without nulls) and the end id, as bytes."""
         tail = np.array([end], "<u4").tobytes()
-        whole = [any(s in t for s in self.special) for t in texts]
-        words = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
+        odd = np.zeros(len(texts), bool)
+        for special in self.special:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
+        coded = split.flatten().dictionary_encode()
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*words) - self.cache.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [
-            (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, ws))) + tail
-            for t, ws, w in zip(texts, words, whole, strict=True)
-        ]
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self._learn({w for w in words if w not in self.cache})
+        found = [self.cache[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        ids = pool[np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        out = [ids[a:b] + tail for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in np.flatnonzero(odd):
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + tail
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        letters, others, tailed = [], [], []
+        for word in sorted(new):
+            text = word.decode()
+            if text.isalpha():
+                letters.append(text)
+            elif found := TAILED.fullmatch(text):
+                tailed.append((word, *found.groups()))
+            else:
+                others.append(text)
+        for part, into in ((1, letters), (2, others)):
+            more = {t[part] for t in tailed}
+            into += sorted(m for m in more if (b := m.encode()) not in self.cache and b not in new)
+        self._learn_letters(letters)
+        self._learn_each(others)
+        for word, stem, marks in tailed:
+            self.cache[word] = self.cache[stem.encode()] + self.cache[marks.encode()]
+
+    def _learn_letters(self, texts: list[str]) -> None:
+        """Words of letters only are one text here, parted at the ids that end words."""
+        for at in range(0, len(texts), 4096):
+            part = texts[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # a letter that the tokenizer's normal form takes apart
+                self._learn_each(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for text, stop in zip(part, (4 * ends).tolist(), strict=True):
+                self.cache[text.encode()] = raw[start:stop]
+                start = stop
+
+    def _learn_each(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[text.encode()] = np.array(found.ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -83,9 +135,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         own = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, len(texts), 500):
+            for at in range(0, len(texts), SLICE):
                 rows = []
-                for k, ids in enumerate(own.encode([t or "" for t in texts.slice(at, 500).to_pylist()], end)):
+                for k, ids in enumerate(own.encode(pc.fill_null(texts.slice(at, SLICE), ""), end)):
                     for n, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + capacity)]
                         rows.append((at + k, n, start, len(part) // 4, zlib.crc32(part), part if with_ids else None))
