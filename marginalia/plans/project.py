@@ -84,7 +84,7 @@ def state_docs(mine: DataFrame, token_budget: int | None = None, tag: str = STAT
             out.append((row.id, row.path, row.root, row.title, row.updated_at, used, len(text) < len(body), text))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in STATE.split(", ")])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, STATE)
+    return rows.groupBy().applyInPandas(run, STATE)
 
 
 def project_state(notes: DataFrame, project: str, client: str | None = None, token_budget: int | None = None, include: tuple[str, ...] = (), state_tag: str = STATE_TAG) -> dict[str, DataFrame]:
