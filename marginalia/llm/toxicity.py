@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,15 @@ from .common import materialize
 #: Subsequence length, decay of a letter or gap, power of the normalised kernel.
 ORDER, DECAY, POWER = 3, 0.7, 1
 #: Sampled labelled documents and sentences (toxic, clean), landmarks (toxic, common).
-SAMPLE, SENTENCES, LANDMARKS = (1500, 3000), (2000, 4000), (40, 8)
-#: Letters of a word that are compared at once, and cached words of a worker.
-WINDOW, CACHE = 20, 900_000
-#: Weight of clean words that were taken for toxic.
-HARD = 50
+SAMPLE, SENTENCES, LANDMARKS = (1000, 2000), (2000, 4000), (28, 4)
+#: Letters of a word that are compared at once, cached words of a worker, and texts that are scored together.
+WINDOW, CACHE, SLICE = 20, 700_000, 2500
+#: Parts that the sample is dealt to, and training sentences of a clean document at most.
+PARTS, OF_DOCUMENT = 24, 4
+#: Weight of a disguised word in the calibration, that of a document being 1.
+HIDDEN = 0.2
+#: Weight of clean words that were taken for toxic, and of disguised toxic words.
+HARD, DISGUISED = 50, 0.2
 #: Decisions below this are alike.
 FLOOR = -1.5
 _SINGLES = re.compile(rb"(?:(?<=\s)|\A)(?:[a-z0-9]\s){2,}[a-z0-9](?=\s|\Z)")
@@ -51,16 +57,19 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(True))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8."""
+def prepared(text: str | None) -> bytes:
+    """Lower-case UTF-8 without ASCII punctuation, single letters in a row joined."""
     plain = (text or "").lower().encode("utf-8", "replace").translate(None, _PUNCTUATION)
     if b" a a a " in b" %b " % plain.translate(_SHAPE):
         plain = _SINGLES.sub(lambda m: b"".join(m.group().split()), plain)
-    return plain.split()
+    return plain
 
 
-def word_windows(word: bytes) -> list[str]:
-    text = word.decode("utf-8", "replace")
+def words(text: str | None) -> list[str]:
+    return [w.decode() for w in prepared(text).split()]
+
+
+def word_windows(text: str) -> list[str]:
     return [text] if len(text) <= WINDOW else [text[i : i + WINDOW] for i in range(0, len(text) - WINDOW // 2, WINDOW // 2)]
 
 
@@ -106,7 +115,7 @@ def kernels(texts: list[str], landmarks: list[str]) -> np.ndarray:
             shared = np.zeros(len(some), np.int8)
             for letter in set(landmark):
                 shared += np.minimum((codes == ord(letter)).sum(axis=0), landmark.count(letter)).astype(np.int8)
-            close = np.flatnonzero(shared >= ORDER + 1)  # ends are shared; with one letter in common the kernel counts as 0
+            close = np.flatnonzero(shared >= ORDER + 2)  # ends are shared; with fewer than ORDER letters in common the kernel counts as 0
             if len(close):
                 value = raw_kernel(codes[:, close], _codes([landmark], -2)) / np.sqrt(norm[close] * own[k])
                 out[part[close], k] = value**POWER
@@ -119,7 +128,7 @@ class Model:
     def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.landmarks, self.alpha, self.bias, self.slope, self.shift = landmarks, alpha, bias, slope, shift
 
-    def decide(self, some: list[bytes]) -> np.ndarray:
+    def decide(self, some: list[str]) -> np.ndarray:
         """Decision of each word."""
         parts = [word_windows(w) for w in some]
         flat = [p for ps in parts for p in ps]
@@ -141,20 +150,22 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
 
-    def documents(self, texts: list[str | None]) -> tuple[list[float], list[bytes]]:
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
         """Decision and worst word of each text."""
-        found = [words(t) for t in texts]
+        plain = pa.array([prepared(t) for t in texts], pa.binary()).cast(pa.string())
+        split = pc.ascii_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        found = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache.clear()
-        values = [list(map(self.cache.get, ws)) for ws in found]
-        gaps = [k for k, vs in enumerate(values) if None in vs]
-        new = sorted({w for k in gaps for w, v in zip(found[k], values[k], strict=True) if v is None})
-        floor = FLOOR  # one object for most words
-        self.cache.update((w, d if d > FLOOR else floor) for w, d in zip(new, self.model.decide(new).tolist(), strict=True))
-        for k in gaps:
-            values[k] = list(map(self.cache.__getitem__, found[k]))
-        most = [max(vs, default=FLOOR) for vs in values]
-        return most, [ws[vs.index(m)] if vs else b"" for ws, vs, m in zip(found, values, most, strict=True)]
+        new = [w for w in found if w not in self.cache]
+        self.cache.update(zip(new, self.model.decide(new).tolist(), strict=True))
+        values = np.append(np.fromiter(map(self.cache.__getitem__, found), float, len(found))[coded.indices.to_numpy()], FLOOR)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        most = np.where(np.diff(bounds) > 0, np.maximum.reduceat(values, bounds[:-1]) if len(texts) else values[:0], FLOOR)
+        at = coded.indices.to_numpy()
+        worst = [found[at[a + int(np.argmax(values[a:b]))]] if m > FLOOR else "" for a, b, m in zip(bounds, bounds[1:], most, strict=False)]
+        return most, worst
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -176,8 +187,10 @@ def decisions(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(*shared.value)
         for batch in batches:
-            values, worst = own.documents(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array([w.decode("utf-8", "replace") for w in worst])], ["doc_id", "decision", "worst"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                values, worst = own.documents(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64()), pa.array(worst, pa.string())], ["doc_id", "decision", "worst"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, decision double, worst string")
@@ -190,11 +203,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample[0]).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample[1]))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]))
+    return materialize(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).repartition(PARTS, "doc_id"))
 
 
-def telling_words(sample: DataFrame, least: float = 20.0, most: int = 400) -> tuple[list[tuple[str, float]], list[str]]:
-    """Words of significantly more toxic documents with their G statistic, and common words of clean ones.
+def telling_words(sample: DataFrame, least: float = 20.0, most: int = 400) -> tuple[list[tuple[str, float]], list[str], DataFrame]:
+    """Words of significantly more toxic documents with their G statistic, common words, and all words of clean documents.
 
     A document counts through its longest word, so that copies and near copies count once.
     """
@@ -204,23 +217,39 @@ def telling_words(sample: DataFrame, least: float = 20.0, most: int = 400) -> tu
             rows = []
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 own = {p for w in set(words(text)) for p in word_windows(w)}
-                rows += [(w, max(own, key=lambda x: (len(x), x)), toxic) for w in own if len(w) >= ORDER]
+                doc = zlib.crc32(max(own, key=lambda x: (len(x), x), default="").encode())
+                rows += [(w, doc, toxic) for w in own if len(w) >= ORDER]
             yield pd.DataFrame(rows, columns=["word", "doc", "toxic"])
 
-    seen = sample.mapInPandas(cut, "word string, doc string, toxic int").groupBy("word").agg(
-        F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc"))).alias("b")
+    seen = materialize(
+        sample.mapInPandas(cut, "word string, doc long, toxic int").groupBy("word").agg(
+            F.countDistinct(F.when(F.col("toxic") == 1, F.col("doc"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("doc"))).alias("b")
+        )
     )
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1:
-        return [], []
+        return [], [], seen.select("word").limit(0)
     rate = n1 / (n1 + n0)
     term = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("a") + F.col("b")) * share))).otherwise(0.0)
     scored = seen.withColumn("g", 2 * (term("a", rate) + term("b", max(1e-9, 1 - rate)))).where(F.col("a") * n0 > F.col("b") * n1 * 8)
     found = scored.where(F.col("g") >= min(least, 4.0 + n1)).orderBy(F.desc("g"), "word").limit(most).collect()
     clean = seen.where("a > 0 and b > 0" if n0 else "a > 0").orderBy(F.desc("b"), "word").limit(200).collect()
     taken = {r.word for r in found}
-    return [(r.word, r.g) for r in found], [r.word for r in clean if r.word not in taken]
+    return [(r.word, r.g) for r in found], [r.word for r in clean if r.word not in taken], seen.where("b > 0").select("word")
+
+
+def mistaken(clean: DataFrame, model: Model, above: float = -0.9, most: int = 3000) -> list[str]:
+    """The clean words (column word) that look most toxic."""
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(d=shared.value.decide(frame["word"].tolist()))
+            yield frame[frame["d"] > above]
+
+    looked = clean.repartition(PARTS, "word").mapInPandas(run, "word string, d double")
+    return [r.word for r in looked.orderBy(F.desc("d"), "word").limit(most).collect()]
 
 
 def pick_landmarks(telling: list[tuple[str, float]], common: list[str], sizes: tuple[int, int] = LANDMARKS) -> list[str]:
@@ -265,7 +294,7 @@ def svm(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2,
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model | None:
     """Learn from documents (doc_id, text) and labels (doc_id, toxic) that are not held out; None without toxic examples."""
     sample = labelled_sample(docs, labels)
-    telling, common = telling_words(sample)
+    telling, common, clean_words = telling_words(sample)
     if not telling:
         return None
     landmarks = pick_landmarks(telling, common)
@@ -275,7 +304,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model | None:
         for frame in frames:
             rows = []
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                for sentence in SENTENCE.split(text):
+                sentences = SENTENCE.split(text)
+                if not toxic:
+                    sentences = sorted(set(sentences), key=lambda x: zlib.crc32(x.encode()))[:OF_DOCUMENT]
+                for sentence in sentences:
                     own = sorted({p for w in words(sentence) for p in word_windows(w) if len(p) >= ORDER})
                     if own and (not toxic or positive.intersection(own)):
                         rows.append((" ".join(own), toxic))
@@ -305,13 +337,13 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model | None:
             xs = np.vstack([x, features[[at[w] for w in extra]], features[[at[w] for w in clean]]])
             ys = np.r_[y, np.ones(len(extra)), -np.ones(len(clean))]
             share = np.where(ys > 0, 1 / max(1, (ys > 0).sum()), 1 / max(1, (ys < 0).sum())) * len(ys)
+            share[len(y) : len(y) + len(extra)] *= DISGUISED
             share[len(y) + len(extra) :] *= np.where(np.isin(clean, hard), HARD, 1)
             w = svm(xs, ys, share)
             score = features @ w[:-1] + w[-1]
         model = Model(landmarks, root @ w[:-1], float(w[-1]))
-        seen = decisions(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "toxic"), "doc_id").toPandas()
-        wrong = sorted({p for t in seen[(seen["toxic"] == 0) & (seen["decision"] > -0.9)]["worst"] for p in word_windows(t.encode()) if len(p) >= ORDER} - set(hard))
-        if turn == rounds - 1 or not wrong:
+        wrong = [] if turn == rounds - 1 else sorted(set(mistaken(clean_words, model)) - set(hard) - positive)
+        if not wrong:
             break
         new = [p for p in wrong if p not in at]
         if new:
@@ -319,20 +351,23 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model | None:
             score = np.r_[score, np.zeros(len(new))]
             at |= {p: len(at) + i for i, p in enumerate(new)}
         hard += wrong
+    seen = decisions(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "toxic"), "doc_id").toPandas()
     hidden = np.maximum(score[[at[w] for w in extra]], FLOOR)  # a document is as toxic with a disguised word
-    model.slope, model.shift = calibrate(np.r_[seen["decision"].to_numpy(float), hidden], np.r_[seen["toxic"].to_numpy(float), np.ones(len(hidden))])
+    model.slope, model.shift = calibrate(
+        np.r_[seen["decision"].to_numpy(float), hidden], np.r_[seen["toxic"].to_numpy(float), np.ones(len(hidden))], np.r_[np.ones(len(seen)), np.full(len(hidden), HIDDEN)]
+    )
     return model
 
 
-def calibrate(decision: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the decision, with softened labels."""
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
+def calibrate(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression of the label on the decision, with softened labels."""
+    n1, n0 = (weight * toxic).sum(), (weight * (1 - toxic)).sum()
     y = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * decision + b, -40, 40)))
-        g = np.array([((p - y) * decision).sum() + 1e-3 * a, (p - y).sum()])
-        r = p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - y) * decision).sum() + 1e-3 * a, (weight * (p - y)).sum()])
+        r = weight * p * (1 - p) + 1e-9
         h = np.array([[(r * decision**2).sum() + 1e-3, (r * decision).sum()], [(r * decision).sum(), r.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
