@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.markdown import lookup_form, resolve_relative
+from .tables import snapshot
 
 # How far a walk goes.
 FAN_OUT, NODES_MOST, HUB = 20, 50, 30
@@ -101,9 +102,12 @@ def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int
     latest = Window.partitionBy("src").orderBy(F.desc("effective_ts"), F.collate(F.col("dst"), "UNICODE"), "dst")
     shown = one.join(known.select(F.col("path").alias("dst"), "effective_ts"), "dst").withColumn("rk", F.row_number().over(latest)).where(F.col("rk") <= fan_out).select("src", "dst", "rk")
     start = origins.select(F.col("path").alias("origin")).distinct()
+    if depth > 1:
+        edge, shown = snapshot(edge), snapshot(shown)
     first = start.join(shown, F.col("origin") == F.col("src")).where("dst <> origin").select("origin", F.col("dst").alias("path"), F.lit(1).alias("distance"), F.col("origin").alias("via"))
     if depth < 2:
         return first if depth else first.limit(0)
+    first = snapshot(first)
     passed = first.join(degrees(edge), "path", "left").where(F.coalesce("degree", F.lit(0)) <= hub).select("origin", F.col("path").alias("hop"))
     reached = passed.join(shown, F.col("hop") == F.col("src")).where("dst <> origin").select("origin", "hop", F.col("dst").alias("path"), "rk")
     reached = reached.join(first.select("origin", "path"), ["origin", "path"], "left_anti")
