@@ -204,6 +204,23 @@ def split_sections(body: str, limit: int = SPLIT_CHARS) -> list[tuple[list[str],
     return out
 
 
+def project_body(body: str, with_outline: bool = False, sections: list[str] | None = None, max_chars: int | None = None) -> dict:
+    """What a fetch returns of a body: its outline instead of it, or sections and then a prefix of UTF-16 length.
+
+    total_chars is that of the whole body; nothing asked for leaves it as it is, without the other fields.
+    """
+    whole = utf16_length(body)
+    if with_outline:
+        return {"body": "", "outline": outline(body), "truncated": whole > 0, "total_chars": whole}
+    if sections is None and max_chars is None:
+        return {"body": body}
+    kept, matched = select_sections(body, sections) if sections else (body, None)
+    if max_chars is not None and utf16_length(kept) > max_chars:
+        kept = kept.encode("utf-16-le", "surrogatepass")[: 2 * max_chars].decode("utf-16-le", "ignore")
+    out = {"body": kept, "truncated": utf16_length(kept) < whole, "total_chars": whole}
+    return out | ({"sections_matched": matched} if matched is not None else {})
+
+
 class FrontmatterError(ValueError):
     pass
 

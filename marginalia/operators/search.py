@@ -13,9 +13,12 @@ import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from ..functions.markdown import project_body
 from ..functions.text import CJK_RANGES, _SPACES, compact_udf, count_occurrences, fold, fold_udf, snippet_udf
 
 # Weights of the score and limits of a page.
@@ -192,6 +195,25 @@ def document_url(path: Column, base_url: str) -> Column:
     return F.concat(F.lit(base_url.rstrip("/") + "/"), encoded)
 
 
+FETCHED = StructType(
+    [StructField("body", StringType()), StructField("truncated", BooleanType()), StructField("total_chars", LongType()), StructField("sections_matched", ArrayType(StringType()))]
+)
+
+
+def fetch(notes: DataFrame, sections: Sequence[str] | None = None, max_chars: int | None = None) -> DataFrame:
+    """Public columns of notes with their bodies, or the parts of them that are asked for."""
+
+    @F.pandas_udf(FETCHED)
+    def part(s: pd.Series) -> pd.DataFrame:
+        found = [project_body(b, False, list(sections) if sections else None, max_chars) for b in s.fillna("")]
+        return pd.DataFrame(found, columns=[f.name for f in FETCHED.fields]).astype(object).where(lambda x: x.notna(), None)
+
+    public = notes.select("id", "path", "title", "client", "project", "tags", "root", "effective_ts", "size_bytes", "body")
+    if sections is None and max_chars is None:
+        return public
+    return public.withColumn("_part", part("body")).select(*[c for c in public.columns if c != "body"], "_part.*")
+
+
 def lookup(notes: DataFrame, reference: str) -> DataFrame:
     """The note that a reference means: its id, else its path with or without ``.md``.
 

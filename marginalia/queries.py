@@ -123,6 +123,11 @@ def compat_fetch(spark, sf_dir):
     return found.select("id", "title", F.octet_length("text").cast("long").alias("text_bytes"), "url", F.col("metadata")["client"].alias("meta_client"), F.col("metadata")["tags"].alias("meta_tags"))
 
 
+@query(f"WITH {NOTES_SQL} SELECT id, substr(body, 1, 100) AS body, length(body) > 100 AS truncated, length(body) AS total_chars FROM notes")
+def fetch_truncated(spark, sf_dir):
+    return search.fetch(notes(spark, sf_dir), max_chars=100).select("id", "body", "truncated", "total_chars")
+
+
 @query(f"""WITH {NOTES_SQL}, counted AS (SELECT id, length(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')) + 1 AS ascii, length(body) AS n FROM notes)
 SELECT id, ascii, n + 1 - ascii AS other, CAST(ceil((ascii / 4.0 + (n + 1 - ascii) / 2.0) * CAST(1.15 AS DOUBLE)) AS BIGINT) AS est_tokens FROM counted""")
 def token_estimate(spark, sf_dir):

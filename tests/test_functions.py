@@ -93,3 +93,24 @@ def test_frontmatter():
     assert m.parse_note(f"---\n{bomb}\n---\nb")[2]
     assert m.note_title({}, "x\n# Head \n", "p/q.md") == "Head" and m.note_title({"title": 3}, "", "p/q.md") == "q"
     assert m.aliases({"aliases": ["a", 3, " "]}) == ["a"] and m.aliases({"aliases": " b "}) == ["b"]
+
+
+def test_project_body():
+    body = "# A\nx\n## B\ny🙂"
+    assert m.project_body(body) == {"body": body}
+    assert m.project_body(body, max_chars=5) == {"body": "# A\nx", "truncated": True, "total_chars": 14}
+    assert m.project_body(body, max_chars=13)["body"] == body[:-1]
+    assert m.project_body(body, sections=["b", "zz"]) == {"body": "## B\ny🙂", "truncated": True, "total_chars": 14, "sections_matched": ["b"]}
+    found = m.project_body(body, with_outline=True)
+    assert found["body"] == "" and found["truncated"] and len(found["outline"]) == 2
+
+
+def test_type_rules():
+    from marginalia.plans.context import TypeRule, parse_type_rules
+
+    rules, hint = parse_type_rules({"rules": [{"name": "p", "match": {"path_prefix": "p/"}, "weight": 9}, {"name": "t", "match": {"tag": "t", "root": "r"}, "weight": 2}], "frontmatter_type_hint": {"enabled": True, "max_weight": 5}})
+    assert rules == [TypeRule("p", 3.0, path_prefix="p/"), TypeRule("t", 1.25, root="r", tag="t")] and hint == 1.25
+    assert parse_type_rules({"rules": []}) == ([], None)
+    for bad in ({}, {"rules": [{}]}, {"rules": [{"name": "x", "match": {}, "weight": 1}]}, {"rules": [{"name": "x", "match": {"tag": "t"}, "weight": 0}]}, {"rules": [{}] * 65}):
+        with pytest.raises(ValueError):
+            parse_type_rules(bad)
