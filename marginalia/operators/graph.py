@@ -45,7 +45,7 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     Wiki links: a path of any root, a path of the own root, else a name that one note of the root has. Others
     get candidates by name, title or alias, which never resolve. Markdown links are paths from the note's folder.
     """
-    known = nodes(notes)
+    known = snapshot(nodes(notes))
     prefixed = known.where("root is not null").select(lookup_form_udf("path").alias("p_key"), F.col("path").alias("p_path"))
     local = known.groupBy("scope", "key").agg(F.max("path").alias("l_path")).withColumnsRenamed({"scope": "l_scope", "key": "l_key"})
     named = known.groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n_count"), F.min("path").alias("n_path")).withColumnsRenamed({"scope": "n_scope", "name": "n_name"})
@@ -90,20 +90,21 @@ def degrees(edge: DataFrame) -> DataFrame:
     return both_ways(edge).groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int = 1, direction: str = "both", fan_out: int = FAN_OUT, most: int = NODES_MOST, hub: int = HUB) -> DataFrame:
+def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int = 1, direction: str = "both", fan_out: int = FAN_OUT, most: int = NODES_MOST, hub: int = HUB, settled: bool = False) -> DataFrame:
     """(origin, path, distance, via) of walks from each origin (column path).
 
     A node shows its ``fan_out`` latest neighbours, seen or not; hubs are reached but not passed, except as
-    origins; a walk ends at ``most`` nodes.
+    origins; a walk ends at ``most`` nodes. settled: the edges are a table already.
     """
     if depth not in (0, 1, 2):
         raise ValueError("depth must be 0, 1 or 2")
+    edge = edge if settled else snapshot(edge)
     one = {"out": edge, "in": edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": both_ways(edge)}[direction]
     latest = Window.partitionBy("src").orderBy(F.desc("effective_ts"), F.collate(F.col("dst"), "UNICODE"), "dst")
     shown = one.join(known.select(F.col("path").alias("dst"), "effective_ts"), "dst").withColumn("rk", F.row_number().over(latest)).where(F.col("rk") <= fan_out).select("src", "dst", "rk")
     start = origins.select(F.col("path").alias("origin")).distinct()
     if depth > 1:
-        edge, shown = snapshot(edge), snapshot(shown)
+        shown = snapshot(shown)
     first = start.join(shown, F.col("origin") == F.col("src")).where("dst <> origin").select("origin", F.col("dst").alias("path"), F.lit(1).alias("distance"), F.col("origin").alias("via"))
     if depth < 2:
         return first if depth else first.limit(0)

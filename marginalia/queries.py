@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.markdown import select_sections, split_sections
 from .functions.text import character_counts_udf, compact_expr, content_fingerprint_udf, tokens_expr
 from .operators import graph, search
+from .operators.tables import snapshot
 from .plans import context, project
 from .sources.views import NOTES_SQL, NOW, SESSIONS_SQL, notes, sessions
 from .streaming import limits
@@ -158,6 +159,12 @@ def _edges(spark, sf_dir):
     return graph.edges(graph.resolved_links(notes(spark, sf_dir)))
 
 
+def _near(spark, sf_dir, depth):
+    """Walks from all notes, whose paths and times are a small table of their own."""
+    all_notes = snapshot(notes(spark, sf_dir).select("path", "effective_ts"))
+    return graph.neighbours(_edges(spark, sf_dir), all_notes, all_notes, depth=depth)
+
+
 @query(f"WITH {NOTES_SQL}, {_LINKS_SQL} SELECT dst AS path, src AS source FROM edges")
 def backlinks(spark, sf_dir):
     return graph.backlinks(_edges(spark, sf_dir))
@@ -180,14 +187,12 @@ far AS (SELECT origin, path, 2 AS distance, hop AS via FROM new n QUALIFY row_nu
 
 @query(f"WITH {NOTES_SQL}, {_LINKS_SQL}, {_NEAR_SQL} SELECT origin, path, distance, via FROM near")
 def neighbors_d1(spark, sf_dir):
-    all_notes = notes(spark, sf_dir)
-    return graph.neighbours(_edges(spark, sf_dir), all_notes, all_notes, depth=1)
+    return _near(spark, sf_dir, 1)
 
 
 @query(f"WITH {NOTES_SQL}, {_LINKS_SQL}, {_NEAR_SQL}, {_FAR_SQL} SELECT origin, path, distance, via FROM near UNION ALL SELECT * FROM far")
 def neighbors_d2(spark, sf_dir):
-    all_notes = notes(spark, sf_dir)
-    return graph.neighbours(_edges(spark, sf_dir), all_notes, all_notes, depth=2)
+    return _near(spark, sf_dir, 2)
 
 
 @query(f"WITH {NOTES_SQL} SELECT count(*) AS doc_count, max(effective_ts) AS latest FROM notes WHERE project = 'src1'")
