@@ -2,7 +2,8 @@
 
 A spot is a common word (anchor) with the chain of the next CHAIN content words; its hash is a signature,
 and a document's fingerprint is the ordered set of its signatures. Texts are lower-cased and split at
-anything but letters and digits. The likeness of two fingerprints is the Jaccard coefficient of the sets.
+anything but letters and digits. Where fewer than one word in SPARSE is common (tables, other languages),
+words whose hash is 0 modulo SPARE are anchors too. The likeness of two fingerprints is the Jaccard coefficient of the sets.
 ``similar_pairs`` finds all pairs at least as alike as a threshold: equal sets stand for one, sets are
 compared only with sets of a fitting length, and only if their rarest signatures meet.
 
@@ -30,6 +31,7 @@ ANCHORS = (
 ).split()
 #: Content words of a chain, and segments between anchors in which they are looked for.
 CHAIN, REACH = 2, 4
+SPARSE, SPARE = 6, 8
 MARK = "\u0001"
 
 
@@ -37,7 +39,15 @@ def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] | Non
     """Adds the sorted distinct signatures (array<long>) of a text column."""
     known = list(anchors or ANCHORS)
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    marked = F.array_join(F.transform(F.split(plain, " "), lambda w: F.when(w.isin(known), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
+    df = df.withColumn("_words", F.split(plain, " "))
+    sparse = F.size(F.filter("_words", lambda w: w.isin(known))) * SPARSE < F.size("_words")
+
+    def mark(anchor) -> Column:
+        return F.array_join(F.transform("_words", lambda w: F.when(anchor(w), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
+
+    # whether a text is sparse is asked once outside the functions of words, which would ask for each word
+    spare = lambda w: w.isin(known) | ((w != "") & (F.pmod(F.xxhash64(w), F.lit(SPARE)) == 0))
+    marked = F.when(sparse, mark(spare)).otherwise(mark(lambda w: w.isin(known)))
     df = df.withColumn("_parts", F.split(marked, MARK))
     # the parts after the first begin with an anchor; each is zipped with those behind it
     parts = F.col("_parts")
@@ -54,7 +64,7 @@ def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] | Non
     df = df.withColumn("_spots", F.transform(zipped, spot))
     words = F.transform(F.filter(F.split(F.element_at("_parts", 1), " "), lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND((1 << 31) - 1))
     found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(words)
-    return df.withColumn(out, F.array_sort(F.array_distinct(found))).drop("_parts", "_spots")
+    return df.withColumn(out, F.array_sort(F.array_distinct(found))).drop("_words", "_parts", "_spots")
 
 
 def fingerprint(signatures: str) -> Column:

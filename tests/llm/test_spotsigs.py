@@ -20,6 +20,8 @@ def xx(words):
 def plain_signatures(text):
     words = re.sub(r"[^\w]|_", " ", (text or "").lower()).split()
     known, found = set(spotsigs.ANCHORS), set()
+    if sum(w in known for w in words) * spotsigs.SPARSE < max(1, len(words)):
+        known = known | {w for w in words if (v := xxh64_intdigest(w.encode(), 42), v - (1 << 64) if v >> 63 else v)[1] % spotsigs.SPARE == 0}
     for i, w in enumerate(words):
         if w in known:
             chain, parts = [], 1
@@ -36,7 +38,7 @@ def plain_signatures(text):
 def corpus():
     rng = random.Random(8)
     rows = [(i * 3, " ".join(rng.choice(["the", "of", "Straße,", "é.", "la", "x1", "word", "thing", "zeta", "und", "-"]) for _ in range(rng.randint(0, 60)))) for i in range(60)]
-    rows += [(500, None), (501, ""), (502, "no anchors... here zeta"), (503, "The. THE the"), (504, "the " * 20000), (505, rows[4][1])]
+    rows += [(500, None), (501, ""), (502, "no anchors... here zeta"), (506, " ".join(f"w{i}" for i in range(200)) + " the end"), (507, "wort " * 30), (503, "The. THE the"), (504, "the " * 20000), (505, rows[4][1])]
     return [(a, b, "x", "y") for a, b in rows]
 
 
