@@ -80,3 +80,44 @@ def test_stages_against_plain_code(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def linked_groups(rows):
+    """Least (doc_id, text) of each component of pairs with a likeness of 0.8 or more."""
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for row, r in zip(rows, root, strict=True):
+        least[r] = min(row[0], least.get(r, row[0]))
+    return sorted(least.values())
+
+
+def test_word_edited_copies_go(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for base in range(30):
+        words = [word() for _ in range(rng.randint(60, 200))]
+        rows.append((base * 100, " ".join(words)))
+        for copy in range(1, 4):  # at likeness about 0.95, 0.85, 0.7
+            edited = list(words)
+            for at in rng.sample(range(0, len(words), 5), max(1, len(words) * copy * copy // 200)):
+                edited[at] = word()
+            rows.append((base * 100 + copy, " ".join(edited)))
+    words = [word() for _ in range(150)]
+    for k in range(120):  # one group of many near copies
+        edited = list(words)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            edited[at] = word()
+        rows.append((5000 + k, " ".join(edited)))
+    docs = spark.createDataFrame([(d, t, "aa", "s1", len(t)) for d, t in rows], SCHEMA).repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == linked_groups(rows) and len(kept) < len(rows) - 100
