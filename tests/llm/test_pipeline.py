@@ -121,3 +121,10 @@ def test_word_edited_copies_go(spark):
     docs = spark.createDataFrame([(d, t, "aa", "s1", len(t)) for d, t in rows], SCHEMA).repartition(4)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == linked_groups(rows) and len(kept) < len(rows) - 100
+
+
+def test_two_texts_of_one_id(spark):
+    own, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, own, "aa", "s1", 1), (5, own, "aa", "s1", 1), (5, other, "aa", "s1", 1), (5, other, "aa", "s1", 1), (7, third, "aa", "s1", 1), (7, own, "aa", "s1", 1), (7, other, "aa", "s1", 1)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, own), (5, other), (7, third)]
