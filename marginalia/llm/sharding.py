@@ -2,10 +2,11 @@
 
 Documents with equal keys are linked. Every document starts in the shard its doc_id hashes to. The
 documents of a group in one shard are alike, so the state is a table (group, start, shard, rows) of linked
-documents only. In each round a group's rows move towards the shard that holds most of its rows, and a
-move is granted by a hash with the probability that the target's room allows; so no shard gathers much
-more than its quota. After the last round whole units leave shards that are over their quota in favour of
-those with room, rows without links first, until the law ``rows`` holds: counts at most one apart.
+documents only. In each round a group keeps as few of its shards as have room for all its rows, those that
+can hold most of them, and its other units are dealt over their room; a move is granted by a hash with the
+probability that the target's room allows, so no shard gathers much more than its quota. After the last round
+rows leave shards that are over their quota in favour of those with room, rows without links first, then group
+by group, until the law ``rows`` holds: counts at most one apart.
 Ranks come from salted counts, never from one task per shard.
 
 Nulls and odd rows: a null text counts as empty; null doc_ids hash like a value of their own; repeated
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, rank_within
+from .common import materialize, rank_within, salts_for
 
 SHARDS = 24
 ROUNDS = 4
@@ -35,10 +36,25 @@ def propagate(units: DataFrame, room: DataFrame, shards: int, rounds: int = ROUN
     """
     state = materialize(units.withColumn("shard", F.col("start")))
     for turn in range(rounds):
-        held = state.groupBy("group", "shard").agg(F.sum("rows").alias("rows"))
-        first = Window.partitionBy("group").orderBy(F.desc("rows"), F.xxhash64("group", "shard", F.lit(turn)))
-        best = held.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("group", F.col("shard").alias("target"))
-        wants = materialize(state.join(best, "group"))
+        held = state.groupBy("group", "shard").agg(F.sum("rows").alias("held"))
+        load = state.groupBy("shard").agg(F.sum("rows").alias("load"))
+        spare = room.join(load, "shard", "left").select("shard", F.greatest(F.col("free") - F.coalesce("load", F.lit(0)), F.lit(0.0)).alias("spare"))
+        every = Window.partitionBy("group")
+        sized = held.join(F.broadcast(spare), "shard").withColumn("n", F.sum("held").over(every))
+        could = F.least(F.col("held") + F.col("spare"), F.col("n").cast("double"))
+        first = every.orderBy(F.desc(could), F.desc("held"), F.xxhash64("group", "shard", F.lit(turn)))
+        before = first.rowsBetween(Window.unboundedPreceding, -1)
+        ranked = sized.withColumn("_k", F.row_number().over(first)).withColumn("_before", F.coalesce(F.sum(could).over(before), F.lit(0.0)))
+        # half a row of slack: quotas are fractions
+        kept = ranked.where((F.col("_k") == 1) | (F.col("_before") < F.col("n") - 0.5)).withColumn("_to", F.sum("spare").over(every.orderBy("_k")))
+        plan = materialize(kept.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("_k", "shard", "_to"))).alias("plan")))  # at most one per shard
+        placed = state.join(plan, "group").withColumn("stays", F.exists("plan", lambda x: x["shard"] == F.col("shard")))
+        moving = every.orderBy("stays", F.xxhash64("group", "start", F.lit(turn))).rowsBetween(Window.unboundedPreceding, 0)
+        middle = F.sum("rows").over(moving) - F.col("rows") / 2
+        placed = placed.withColumn("_at", middle)
+        open_ = F.filter("plan", lambda x: x["_to"] > F.col("_at"))
+        target = F.when(F.col("stays"), F.col("shard")).when(F.size(open_) > 0, open_[0]["shard"]).otherwise(F.col("plan")[0]["shard"])
+        wants = materialize(placed.select("group", "start", "rows", "shard", target.alias("target")))
         arriving = wants.where("shard <> target").groupBy(F.col("target").alias("shard")).agg(F.sum("rows").alias("arriving"))
         leaving = wants.where("shard <> target").groupBy("shard").agg(F.sum("rows").alias("leaving"))
         load = wants.groupBy("shard").agg(F.sum("rows").alias("load"))
@@ -71,23 +87,41 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     return _level(materialize(placed), shards, total)
 
 
+def _rank_by_group(linked: DataFrame) -> DataFrame:
+    """Adds _rank to linked rows: the rows of a group follow each other. No group is gathered in one task."""
+    keys = ["_shard", "_linked"]
+    salted = F.pmod(F.xxhash64("group", F.lit(17)), F.lit(salts_for(linked.sparkSession))).cast("int")
+    groups = materialize(linked.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salt", salted))
+    salts = groups.groupBy(*keys, "_salt").agg(F.sum("_n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salts.select(*keys, "_salt", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*keys, "_salt").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(starts, [*keys, "_salt"])
+    first = first.select(*keys, "group", (F.col("_start") + F.col("_before")).alias("_from"))
+    inside = materialize(rank_within(linked, [*keys, "group"], F.struct("group", "doc_id"), [F.col("doc_id")], "_in"))
+    return inside.join(first, [*keys, "group"]).withColumn("_rank", F.col("_from") + F.col("_in")).drop("_from", "_in")
+
+
 def _level(placed: DataFrame, shards: int, total: int) -> DataFrame:
     """Move the fewest rows, unlinked ones first, so that shard s holds total // shards rows, or one more if s < total % shards."""
-    ranked = materialize(rank_within(placed, ["_shard", "_linked"], F.struct("group", "doc_id"), [F.col("group"), F.col("doc_id")], "_rank"))
+    lone = rank_within(placed.where("_linked = 0"), ["_shard", "_linked"], F.struct("group", "doc_id"), [F.col("group"), F.col("doc_id")], "_rank")
+    ranked = materialize(lone.unionByName(_rank_by_group(placed.where("_linked = 1"))))
     sizes = {(r["_shard"], r["_linked"]): r.n for r in ranked.groupBy("_shard", "_linked").agg(F.count(F.lit(1)).alias("n")).collect()}
     have = [sizes.get((s, 0), 0) + sizes.get((s, 1), 0) for s in range(shards)]
     order = sorted(range(shards), key=lambda s: (-have[s], s))  # the fullest keep one more
     want = [total // shards] * shards
     for s in order[: total % shards]:
         want[s] += 1
+    over = [max(0, have[s] - want[s]) for s in range(shards)]
+    lone = [min(over[s], sizes.get((s, 0), 0)) for s in range(shards)]
     leave, number, take = [], 0, []
-    for s in range(shards):
-        over = max(0, have[s] - want[s])
-        free = min(over, sizes.get((s, 0), 0))
-        leave += [(s, 0, free, number), (s, 1, over - free, number + free)]
-        number += over
+    # linked rows are numbered first and the shards with the most room take first, so few shards take them
+    for linked, counts in ((1, [o - n for o, n in zip(over, lone, strict=True)]), (0, lone)):
+        for s in range(shards):
+            leave.append((s, linked, counts[s], number))
+            number += counts[s]
     at = 0
-    for s in range(shards):
+    for s in sorted(range(shards), key=lambda s: (have[s] - want[s], s)):
         if under := max(0, want[s] - have[s]):
             take.append((at, at + under, s))
             at += under

@@ -42,3 +42,19 @@ def test_fewer_rows_than_shards_and_empty(spark):
     rows = [(1, "a", "x", "y"), (2, "a", "x", "y"), (3, None, "x", "y")]
     check(rows, sharding.shard_documents(spark.createDataFrame(rows, SCHEMA)).collect(), 24)
     assert sharding.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_group_ends_in_few_shards(spark):
+    rows = [(i, "same", "x", "y") for i in range(800)] + [(1000 + i, f"text {i}", "x", "y") for i in range(1600)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), shards=24).collect()
+    check(rows, out, 24)
+    held = Counter(r["shard"] for r in out if r.text_crc32 == zlib.crc32(b"same"))
+    assert len(held) <= 11  # 8 at least
+
+
+def test_linked_rows_leave_group_by_group(spark):
+    rows = [(g * 10 + i, g, 0, 1) for g in range(20) for i in range(5)]
+    placed = spark.createDataFrame(rows, "doc_id long, group long, _shard int, _linked int")
+    out = sharding._level(placed, 2, 100).collect()
+    assert Counter(r["shard"] for r in out) == {0: 50, 1: 50}
+    assert sum(len({r["shard"] for r in out if r.group == g}) > 1 for g in range(20)) <= 1
