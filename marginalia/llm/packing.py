@@ -33,22 +33,25 @@ CAPACITY = 2048
 BRANCHES, STEPS, NODES = 3, 400, 6_000
 #: Cached words of a tokenizer, and texts that are encoded together.
 CACHE, SLICE = 1_000_000, 2500
-#: Letters followed by ASCII punctuation without an apostrophe: two words for the tokenizer, whatever the letters.
-TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Plain Latin letters, which stay single letters in the tokenizer's normal form, then ASCII punctuation without an
+#: apostrophe: two words for the tokenizer. U+0130 is not among them, as its small form is a letter and a mark.
+TAILED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
 
 
 class Encoder:
     """Little-endian ids of texts; words are looked up, unknown ones encoded together.
 
-    A word is a run between ASCII white space, its ASCII letters in lower case: the tokenizer ignores case and
-    white space and joins nothing across it.
+    A word is a run between ASCII white space, which the tokenizer drops and joins nothing across. Words of ASCII
+    alone are looked up in lower case, as the tokenizer ignores their case; others are left as they are, since it
+    composes letters and marks before it lowers them. Texts that hold a special token are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a word in lower case may look like a special token
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -61,8 +64,9 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         for special in self.special:
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
-        coded = split.flatten().dictionary_encode()
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        flat = split.flatten()
+        coded = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat).dictionary_encode()
         if len(self.cache) > CACHE:
             self.cache.clear()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
@@ -76,7 +80,7 @@ class Encoder:
         bounds = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
         out = [ids[a:b] + tail for a, b in zip(bounds, bounds[1:], strict=False)]
         for k in np.flatnonzero(odd):
-            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + tail
+            out[k] = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes() + tail
         return out
 
     def _learn(self, new: set[bytes]) -> None:
@@ -185,7 +189,8 @@ def fillings(left: dict[int, int], largest: int, capacity: int, allowed: int) ->
     """(waste, filling) around the largest length: undominated ones found within STEPS, least waste first, at most BRANCHES.
 
     A filling whose room would still hold a remaining length is dominated, and so are all others if one
-    length fills the room. Wasteful ones beyond ``allowed`` are left out if there is another.
+    length fills the room, or those whose documents fit into a kept filling's. Wasteful ones beyond ``allowed`` are
+    left out if there is another.
     """
     room = capacity - largest
     if not room:
@@ -227,8 +232,40 @@ def fillings(left: dict[int, int], largest: int, capacity: int, allowed: int) ->
                 chosen[x], free = take, free - take * x
         found.append((free, 0, chosen))
     found.sort(key=lambda f: (f[0], f[1], sorted(f[2].items(), reverse=True)))
-    kept = [f for f in found if f[0] <= allowed] or found[:1]
-    return [(waste, {**chosen, largest: chosen.get(largest, 0) + 1}) for waste, _, chosen in kept[:BRANCHES]]
+    kept: list[tuple[int, dict[int, int]]] = []
+    for waste, _, chosen in found:
+        if kept and (waste > allowed or len(kept) == BRANCHES):
+            break
+        if not any(dominates(better, chosen) for _, better in kept):
+            kept.append((waste, chosen))
+    return [(waste, {**chosen, largest: chosen.get(largest, 0) + 1}) for waste, chosen in kept]
+
+
+def dominates(a: dict[int, int], b: dict[int, int], steps: int = 200) -> bool:
+    """True if the documents of filling b fit into those of a, each of a taken as a bin: whatever packs beside a then packs beside b.
+
+    Documents of both go to themselves; the rest is tried largest first, and False after ``steps`` tries.
+    """
+    bins = [x for x, n in a.items() for _ in range(n - b.get(x, 0))]
+    rest = sorted((x for x, n in b.items() for _ in range(n - a.get(x, 0))), reverse=True)
+    if sum(rest) > sum(bins) or len(rest) > 12:
+        return False
+
+    def place(k: int) -> bool:
+        nonlocal steps
+        if k == len(rest):
+            return True
+        for room in sorted(set(bins)):
+            steps -= 1
+            if steps > 0 and room >= rest[k]:
+                at = bins.index(room)
+                bins[at] -= rest[k]
+                if place(k + 1):
+                    return True
+                bins[at] = room
+        return False
+
+    return place(0)
 
 
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[Filling, int]]:

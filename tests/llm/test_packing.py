@@ -1,8 +1,10 @@
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import packing
@@ -79,3 +81,25 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_ids_of_letters_and_marks_equal_the_tokenizer():
+    rng = random.Random(5)
+    own, plain = packing.Encoder(PATH), tokenizers.Tokenizer.from_file(PATH)
+    letters = [c for c in map(chr, range(0x21, 0x2000)) if c.isalpha()]
+    marks = [c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c)]
+    texts = ["HABERLERİ: GÜNDEMİ!", "TÜRKİYE'DEKİ DÜNYADAKİ, DAHİ.", "Kİ.", "<|ENDOFTEXT|> a", "a<|endoftext|>b", "T̈ W̊ Y̊ H̱ J̌"]
+    texts += [f"{c}{p}" for c in letters for p in ".:'"]
+    texts += [f"{b}{m}" for b in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC5, 0x130, 0x3A3]) for m in marks]
+    pool = [*"abcXYZ.,:'\"<|>-_ 012\n", "İ", "ß", "É", "é", "Σ", "ﬁ", "你", "̇", " ", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "😀", "Ｋ"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    for text, ids in zip(texts, own.encode(pa.array(texts, pa.string()), 0), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], ascii(text)
+
+
+def test_dominated_fillings():
+    assert packing.dominates({7: 1}, {4: 1, 3: 1}) and packing.dominates({5: 1, 7: 1}, {4: 1, 3: 2}) and packing.dominates({5: 2}, {5: 1, 4: 1})
+    assert not packing.dominates({4: 1, 3: 1}, {7: 1}) and not packing.dominates({6: 1, 4: 1}, {5: 2})
+    left = {10: 1, 6: 1, 5: 2, 3: 2, 2: 1}
+    kept = packing.fillings(left, 10, 20, 20)
+    assert kept[0][0] == 0 and all(not packing.dominates(a, b) for _, a in kept for _, b in kept if a != b)
