@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from marginalia.llm import neighbours as n
 
@@ -67,3 +70,57 @@ def test_partition_is_balanced():
     assert (np.sort(graph[:50], axis=1) == np.sort(np.argsort(d, axis=1)[:, :5], axis=1)).all()
     sizes = np.bincount(n.balanced_partition(x, graph, 8), minlength=8)
     assert sizes.max() <= np.ceil(1.05 * 125) and sizes.sum() == 1000
+
+
+def test_partitions_without_queries(spark):
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.normal(size=(12, 16))
+    rows = []
+    for i in range(12_000):
+        rows.append((i, (centres[0 if i % 100 == 0 else 1 + i % 11] + 0.3 * rng.normal(size=16)).tolist(), "x", None))
+    found, router = run(spark, rows)
+    assert router.parts > 4 and len(found) == 120 and all(len(hits) == 10 for hits in found.values())
+
+
+def test_repeated_ids_leave_whole_lists(spark):
+    rng = np.random.default_rng(3)
+    rows = [(100, rng.normal(size=4).tolist(), "", "") for _ in range(6)] + [(i, rng.normal(size=4).tolist(), "", "") for i in range(1, 31)]
+    rows += [(100, rows[0][1], "", "")] * 14 + [(7, rows[7][1], "", "")] * 12
+    frame = spark.createDataFrame(rows, SCHEMA)
+    vectors = n.clean_vectors(frame)
+    out = n.search(vectors, vectors.where("vec_id = 100").dropDuplicates(["v"]), n.fit(vectors)).collect()
+    lists = {}
+    for q in range(6):
+        lists[q] = sorted((float(np.sqrt(((np.array(rows[q][1]) - np.array(v)) ** 2).sum())), i) for i, v, *_ in rows if i != 100)[:10]
+    got = sorted((r.score, r.vec_id, r["rank"]) for r in out)
+    assert got == sorted((s, i, k + 1) for hits in lists.values() for k, (s, i) in enumerate(hits))
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (1e200 if i % 2 else 1e-200)).tolist(), "", "") for i in range(600)]
+    found, _ = run(spark, rows)
+    assert set(found) == {0, 100, 200, 300, 400, 500}
+    for q, hits in found.items():
+        assert len(hits) == 10 and all(i % 2 == 0 for _, i in hits)
+        unit = np.array(rows[q][1]) / 1e-200
+        assert np.allclose([s / 1e-200 for s, _ in hits], sorted(np.sqrt(((unit - np.array(v) / 1e-200) ** 2).sum()) for i, v, *_ in rows if i != q and i % 2 == 0)[:10])
+    far = n.distances(np.array([[3e200, 4e200], [1.0, 1.0]]), np.zeros(2))
+    assert np.allclose(far, [5e200, 2**0.5])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="the test tables are not here")
+def test_recall_on_the_test_tables(spark):
+    small = n.clean_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    assert n.fit(small).parts > 1
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = n.clean_vectors(frame)
+    asked, router = vectors.where("vec_id % 100 = 0"), n.fit(vectors)
+    found = {}
+    for r in n.search(vectors, asked, router).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute([(r.vec_id, r.embedding) for r in frame.collect()])
+    recall = np.mean([len(found[q] & {i for _, i in hits}) / len(hits) for q, hits in want.items()])
+    share = n.read_share(vectors, asked, router)
+    print(f"{router.parts} partitions, recall {recall:.3f}, {share:.2f} of all pairs compared")
+    assert router.parts > 1 and recall >= 0.9 and share < 1
