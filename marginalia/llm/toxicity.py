@@ -1,20 +1,26 @@
 """Operator 1: toxicity by a subsequence string-kernel SVM with Nystrom landmarks.
 
-The kernel of two words is the gap-weighted count of common subsequences of ORDER letters, normalised and
-raised to a power (which stays a kernel); gaps and inserted letters only lower it. Landmarks are words that
-tell toxic documents from others, and some common ones; with the kernel between landmarks K, a word's
-features are K^-1/2 k(word), so its decision is a weighted sum of its kernels with the landmarks. A sentence
-is as toxic as its worst word, a document as its worst sentence. Training sentences come from a bounded sample
-of labelled documents: those of clean documents are negative, those of toxic ones positive if they hold a word
-that occurs in significantly more toxic documents; the SVM is refitted with the worst word of each sentence
-as its instance, with those words disguised by a letter more, and with the clean words that it first got wrong. Scores are calibrated on the sampled
-documents.
+The kernel of two words is the gap-weighted count of common subsequences of ORDER letters, normalised; gaps and
+inserted letters only lower it. Landmarks are words that tell toxic documents from others, and some common ones;
+with the kernel between landmarks K, a word's features are K^-1/2 k(word), so its decision is a weighted sum of
+its kernels with the landmarks. A sentence is as toxic as its worst word, or its worst pair of short adjacent
+words taken as one; a document's probability follows from its TOP worst different words.
+
+Labels are those of documents, so sentences are labelled by multiple-instance learning: a first SVM parts the
+telling words from common ones; then, in each round, the sentences of toxic documents that it takes for toxic,
+and the worst one of a toxic document if it comes near, are positive, all sentences of clean documents are
+negative, and the SVM is fitted anew to their worst words, to words disguised by a letter more, and to clean words that
+look toxic. Scores are calibrated on the sampled documents by logistic regression.
+
+Learning is bounded by parameters of ``fit``: ``sample`` labelled documents (toxic, clean) are looked at whole;
+``telling`` words and ``landmarks`` (toxic, common) are taken from all their words, and ``instances`` (toxic, clean) worst words of
+sentences, the most frequent and the hardest ones, are fitted in a round.
 
 Words are runs between white space, lower-cased, without ASCII punctuation, so "i-d-i-o-t" is a word; single
 letters in a row are one word; long ones are looked at in overlapping windows. Null, empty and blank texts
 have the score of a text without toxic words. Rows with null doc_id count as held out; a doc_id labelled
-twice is toxic if any label is. Repeated rows are scored each; other columns are ignored. Without toxic
-examples every score is 0.
+twice is toxic if any label is, one with several texts is learned from by the least of them. Repeated rows are
+scored each; other columns are ignored. Without toxic examples every score is 0.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,20 +39,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Subsequence length, decay of a letter or gap, power of the normalised kernel.
-ORDER, DECAY, POWER = 3, 0.7, 1
-#: Sampled labelled documents and sentences (toxic, clean), landmarks (toxic, common).
-SAMPLE, SENTENCES, LANDMARKS = (1000, 2000), (2000, 4000), (28, 4)
-#: Letters of a word that are compared at once, cached words of a worker, and texts that are scored together.
-WINDOW, CACHE, SLICE = 20, 700_000, 2500
-#: Parts that the sample is dealt to, and training sentences of a clean document at most.
-PARTS, OF_DOCUMENT = 24, 4
-#: Weight of a disguised word in the calibration, that of a document being 1.
+#: Subsequence length, and decay of a letter or gap.
+ORDER, DECAY = 3, 0.7
+#: Sampled labelled documents (toxic, clean), telling words, landmarks (toxic, common), instances of a round (toxic, clean).
+SAMPLE, TELLING, LANDMARKS, INSTANCES = (1000, 2000), 400, (28, 4), (3000, 6000)
+#: Letters of a word that are compared at once, those of both words of a pair at most, and worst words that a document is judged by.
+WINDOW, PAIRED, TOP = 20, 4, 3
+#: Cached words of a worker, texts that are scored together, and parts that the sample is dealt to.
+CACHE, SLICE, PARTS = 700_000, 2500, 24
+#: Weights of the clean words that look toxic and of disguised words, those of the sentences of a class being 1 together.
+HARD, DISGUISED = 3.0, 0.2
+#: Weight of documents with a disguised word alone in the calibration, that of the toxic documents being 1.
 HIDDEN = 0.2
-#: Weight of clean words that were taken for toxic, and of disguised toxic words.
-HARD, DISGUISED = 50, 0.2
-#: Decisions below this are alike.
-FLOOR = -1.5
+#: Decisions below the floor are alike; words above NEAR look toxic.
+FLOOR, NEAR = -1.5, -0.9
 _SINGLES = re.compile(rb"(?:(?<=\s)|\A)(?:[a-z0-9]\s){2,}[a-z0-9](?=\s|\Z)")
 _SHAPE = bytes(32 if chr(c).isspace() and c < 128 else 97 for c in range(256))
 _PUNCTUATION = string.punctuation.encode()
@@ -102,10 +108,13 @@ def self_kernel(texts: list[str]) -> np.ndarray:
 
 
 def kernels(texts: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernels (texts x landmarks) of words between marks for their ends; texts are at most WINDOW long."""
+    """Normalised kernels (texts x landmarks) of words; texts are at most WINDOW letters long.
+
+    Words with fewer than ORDER letters in common have no subsequence of that length in common, so their kernel
+    is 0 without looking further.
+    """
     out = np.zeros((len(texts), len(landmarks)), np.float32)
-    texts, landmarks = [f"^{t}$" if len(t) >= ORDER else "" for t in texts], [f"^{t}$" for t in landmarks]
-    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+    order = sorted((i for i, t in enumerate(texts) if len(t) >= ORDER), key=lambda i: len(texts[i]))
     own = self_kernel(landmarks)
     for at in range(0, len(order), 2048):  # words of about one length
         part = np.array(order[at : at + 2048])
@@ -115,18 +124,17 @@ def kernels(texts: list[str], landmarks: list[str]) -> np.ndarray:
             shared = np.zeros(len(some), np.int8)
             for letter in set(landmark):
                 shared += np.minimum((codes == ord(letter)).sum(axis=0), landmark.count(letter)).astype(np.int8)
-            close = np.flatnonzero(shared >= ORDER + 2)  # ends are shared; with fewer than ORDER letters in common the kernel counts as 0
+            close = np.flatnonzero(shared >= ORDER)
             if len(close):
-                value = raw_kernel(codes[:, close], _codes([landmark], -2)) / np.sqrt(norm[close] * own[k])
-                out[part[close], k] = value**POWER
+                out[part[close], k] = raw_kernel(codes[:, close], _codes([landmark], -2)) / np.sqrt(norm[close] * own[k])
     return out
 
 
 class Model:
-    """Landmarks and their weights; slope and shift make a decision a probability."""
+    """Landmarks and their weights; ``judge`` makes a document's worst decisions a probability (its last weight is the shift)."""
 
-    def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.landmarks, self.alpha, self.bias, self.slope, self.shift = landmarks, alpha, bias, slope, shift
+    def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float, judge: np.ndarray | None = None):
+        self.landmarks, self.alpha, self.bias, self.judge = landmarks, alpha, bias, judge
 
     def decide(self, some: list[str]) -> np.ndarray:
         """Decision of each word."""
@@ -140,60 +148,104 @@ class Model:
         firsts = np.cumsum([0] + [len(p) for p in parts[:-1]])
         return np.maximum(np.maximum.reduceat(values, firsts), FLOOR).round(4)
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -40, 40)))
+    def probability(self, worst: np.ndarray) -> np.ndarray:
+        """Of documents by their worst decisions (documents x TOP)."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.judge[:-1] + self.judge[-1], -40, 40)))
 
 
 class Scorer:
-    """Decisions of documents; words are looked up, new ones decided together."""
+    """Decisions of texts; words are looked up, new ones decided together."""
 
     def __init__(self, model: Model):
         self.model, self.cache = model, {}
 
-    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
-        """Decision and worst word of each text."""
-        plain = pa.array([prepared(t) for t in texts], pa.binary()).cast(pa.string())
-        split = pc.ascii_split_whitespace(plain)
-        coded = split.flatten().dictionary_encode()
+    def turned(self, model: Model) -> Scorer:
+        """Scorer of a model with the same landmarks; kernels are kept, as learning goes over the same words in each round."""
+        if not hasattr(self, "vectors"):
+            self.vectors: dict[str, np.ndarray] = {}
+        self.model, self.cache = model, {}
+        return self
+
+    def _decide(self, new: list[str]) -> list[float]:
+        if not hasattr(self, "vectors"):
+            return self.model.decide(new).tolist()
+        parts = {w: word_windows(w) for w in new}
+        unknown = sorted({p for ps in parts.values() for p in ps if p not in self.vectors})
+        self.vectors.update(zip(unknown, kernels(unknown, self.model.landmarks), strict=True))
+        if not new:
+            return []
+        values = np.array([self.vectors[p] for ps in parts.values() for p in ps]) @ self.model.alpha + self.model.bias
+        firsts = np.cumsum([0] + [len(ps) for ps in parts.values()][:-1])
+        return np.maximum(np.maximum.reduceat(values, firsts), FLOOR).round(4).tolist()
+
+    def _values(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, list[str]]:
+        """Decision of each entry, and the dictionary."""
         found = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = [w for w in found if w not in self.cache]
-        self.cache.update(zip(new, self.model.decide(new).tolist(), strict=True))
-        values = np.append(np.fromiter(map(self.cache.__getitem__, found), float, len(found))[coded.indices.to_numpy()], FLOOR)
-        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
-        most = np.where(np.diff(bounds) > 0, np.maximum.reduceat(values, bounds[:-1]) if len(texts) else values[:0], FLOOR)
-        at = coded.indices.to_numpy()
-        worst = [found[at[a + int(np.argmax(values[a:b]))]] if m > FLOOR else "" for a, b, m in zip(bounds, bounds[1:], most, strict=False)]
-        return most, worst
-
+        self.cache.update(zip(new, self._decide(new), strict=True))
+        return np.fromiter(map(self.cache.__getitem__, found), float, len(found))[coded.indices.to_numpy()], found
 
-_scorers: dict[bytes, Scorer] = {}
-
-
-def scorer(model: Model, key: bytes) -> Scorer:
-    """One for each worker process and model."""
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        """The TOP worst decisions of different words of each text (texts x TOP), and its worst word."""
+        split = pc.ascii_split_whitespace(pa.array([prepared(t) for t in texts], pa.binary()).cast(pa.string()))
+        flat = split.flatten()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        short = pc.utf8_length(flat).to_numpy() <= PAIRED
+        pair = np.flatnonzero(short[:-1] & short[1:] & (row[:-1] == row[1:])) if len(flat) > 1 else np.empty(0, np.int64)
+        joined = pc.binary_join_element_wise(flat.take(pa.array(pair)), flat.take(pa.array(pair + 1)), "")
+        rows, values, names = [], [], []
+        for some, of in ((flat, row), (joined, row[pair])):
+            coded = some.dictionary_encode()
+            value, found = self._values(coded)
+            high = np.flatnonzero(value > FLOOR)
+            rows.append(of[high])
+            values.append(value[high])
+            names += [found[i] for i in coded.indices.to_numpy()[high]]
+        rows, values = np.concatenate(rows), np.concatenate(values)
+        top, worst = np.full((len(texts), TOP), FLOOR), [""] * len(texts)
+        seen: set[tuple[int, str]] = set()
+        used = np.zeros(len(texts), np.int64)
+        for i in np.lexsort((np.arange(len(rows)), -values)).tolist():
+            at, name = int(rows[i]), names[i]
+            if used[at] < TOP and (at, name) not in seen:
+                seen.add((at, name))
+                top[at, used[at]] = values[i]
+                if not used[at]:
+                    worst[at] = name
+                used[at] += 1
+        return top, worst
+
+
+_scorers: dict[tuple, Scorer] = {}
+
+
+def scorer(model: Model, learning: bool = False) -> Scorer:
+    """One for each worker process and model; while learning, one for the landmarks."""
+    key = (learning, *model.landmarks) if learning else (learning, *model.landmarks, model.alpha.tobytes(), model.bias)
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return _scorers[key].turned(model) if learning else _scorers[key]
 
 
 def decisions(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, decision, worst) of each row of ``docs`` (doc_id, text)."""
-    key = model.alpha.tobytes() + np.float64(model.bias).tobytes() + "\n".join(model.landmarks).encode()
-    shared = docs.sparkSession.sparkContext.broadcast((model, key))
+    """(doc_id, decisions, worst) of each row of ``docs`` (doc_id, text): the TOP worst decisions, and the worst word."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(*shared.value)
+        own = scorer(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                values, worst = own.documents(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64()), pa.array(worst, pa.string())], ["doc_id", "decision", "worst"])
+                top, worst = own.texts(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * TOP), pa.array(top.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(worst, pa.string())], ["doc_id", "decisions", "worst"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, decision double, worst string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, decisions array<double>, worst string")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
@@ -203,11 +255,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]
     order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample[0]).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample[1]))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).repartition(PARTS, "doc_id"))
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(one.repartition(PARTS, "doc_id"))
 
 
-def telling_words(sample: DataFrame, least: float = 20.0, most: int = 400) -> tuple[list[tuple[str, float]], list[str], DataFrame]:
-    """Words of significantly more toxic documents with their G statistic, common words, and all words of clean documents.
+def telling_words(sample: DataFrame, least: float = 20.0, most: int = TELLING) -> tuple[list[tuple[str, float]], list[str]]:
+    """Words of significantly more toxic documents with their G statistic, and words that both kinds have.
 
     A document counts through its longest word, so that copies and near copies count once.
     """
@@ -229,27 +282,14 @@ def telling_words(sample: DataFrame, least: float = 20.0, most: int = 400) -> tu
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1:
-        return [], [], seen.select("word").limit(0)
+        return [], []
     rate = n1 / (n1 + n0)
     term = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("a") + F.col("b")) * share))).otherwise(0.0)
     scored = seen.withColumn("g", 2 * (term("a", rate) + term("b", max(1e-9, 1 - rate)))).where(F.col("a") * n0 > F.col("b") * n1 * 8)
     found = scored.where(F.col("g") >= min(least, 4.0 + n1)).orderBy(F.desc("g"), "word").limit(most).collect()
-    clean = seen.where("a > 0 and b > 0" if n0 else "a > 0").orderBy(F.desc("b"), "word").limit(200).collect()
     taken = {r.word for r in found}
-    return [(r.word, r.g) for r in found], [r.word for r in clean if r.word not in taken], seen.where("b > 0").select("word")
-
-
-def mistaken(clean: DataFrame, model: Model, above: float = -0.9, most: int = 3000) -> list[str]:
-    """The clean words (column word) that look most toxic."""
-    shared = clean.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.assign(d=shared.value.decide(frame["word"].tolist()))
-            yield frame[frame["d"] > above]
-
-    looked = clean.repartition(PARTS, "word").mapInPandas(run, "word string, d double")
-    return [r.word for r in looked.orderBy(F.desc("d"), "word").limit(most).collect()]
+    common = seen.where("a > 0 and b > 0" if n0 else "a > 0").orderBy(F.desc("b"), "word").limit(200).collect()
+    return [(r.word, r.g) for r in found], [r.word for r in common if r.word not in taken]
 
 
 def pick_landmarks(telling: list[tuple[str, float]], common: list[str], sizes: tuple[int, int] = LANDMARKS) -> list[str]:
@@ -291,92 +331,116 @@ def svm(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model | None:
+def witnesses(text: str, toxic: int, own: Scorer) -> list[tuple[str, float]]:
+    """(worst word, decision) of the sentences of a document that multiple-instance learning takes.
+
+    Of toxic documents these are sentences that look toxic, and the worst one if it comes near; of clean ones all.
+    Sentences with the same worst word count once.
+    """
+    top, worst = own.texts(SENTENCE.split(text))
+    best: dict[str, float] = {}
+    for w, d in zip(worst, top[:, 0].tolist(), strict=True):
+        best[w] = max(d, best.get(w, FLOOR))
+    most = max(best.values())
+    return [(w, d) for w, d in best.items() if w and (not toxic or d > 0 or d == most > NEAR)]
+
+
+def instances(sample: DataFrame, model: Model, most: tuple[int, int] = INSTANCES) -> dict[int, list[tuple[str, int, float]]]:
+    """Worst words of the witnesses by label (1: toxic) with their numbers of documents and decisions."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = scorer(shared.value, learning=True)
+        for frame in frames:
+            rows = [(w, toxic, d) for text, toxic in zip(frame["text"], frame["toxic"], strict=True) for w, d in witnesses(text, toxic, own)]
+            yield pd.DataFrame(rows, columns=["word", "toxic", "d"])
+
+    seen = materialize(sample.mapInPandas(run, "word string, toxic int, d double").groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")))
+    order = {1: [F.desc("n"), F.desc("d"), F.col("word")], 0: [F.desc("d"), F.col("word")]}
+    return {y: [(r.word, r.n, r.d) for r in seen.where(F.col("toxic") == y).orderBy(*order[y]).limit(most[1 - y]).collect()] for y in (1, 0)}
+
+
+def judged(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Worst decisions (documents x TOP) and labels of the sample."""
+    seen = decisions(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").toPandas()
+    return np.stack(seen["decisions"].to_numpy()), seen["toxic"].to_numpy(float)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, telling: int = TELLING, landmarks: tuple[int, int] = LANDMARKS, instances_: tuple[int, int] = INSTANCES,
+) -> Model | None:
     """Learn from documents (doc_id, text) and labels (doc_id, toxic) that are not held out; None without toxic examples."""
-    sample = labelled_sample(docs, labels)
-    telling, common, clean_words = telling_words(sample)
-    if not telling:
+    drawn = labelled_sample(docs, labels, sample)
+    told, common = telling_words(drawn, most=telling)
+    if not told:
         return None
-    landmarks = pick_landmarks(telling, common)
-    positive = {w for w, _ in telling}
+    names = pick_landmarks(told, common, landmarks)
+    return learn(told, common, names, lambda model: instances(drawn, model, instances_), lambda model: judged(drawn, model))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                sentences = SENTENCE.split(text)
-                if not toxic:
-                    sentences = sorted(set(sentences), key=lambda x: zlib.crc32(x.encode()))[:OF_DOCUMENT]
-                for sentence in sentences:
-                    own = sorted({p for w in words(sentence) for p in word_windows(w) if len(p) >= ORDER})
-                    if own and (not toxic or positive.intersection(own)):
-                        rows.append((" ".join(own), toxic))
-            yield pd.DataFrame(rows, columns=["sentence", "toxic"])
-
-    cuts = materialize(sample.mapInPandas(cut, "sentence string, toxic int").distinct())
-    bags, sides = [], []
-    for toxic in (1, 0):
-        for r in cuts.where(F.col("toxic") == toxic).orderBy(F.xxhash64("sentence"), "sentence").limit(SENTENCES[1 - toxic]).collect():
-            bags.append(r.sentence.split(" "))
-            sides.append(2 * toxic - 1)
-    y, hard = np.array(sides, float), []
-    values, vectors = np.linalg.eigh(kernels(landmarks, landmarks).astype(float))
+
+def learn(
+    told: list[tuple[str, float]], common: list[str], names: list[str], find: Callable[[Model], dict], judge: Callable[[Model], tuple],
+    rounds: int = 3, hard: float = HARD, disguise: float = DISGUISED, hidden: float = HIDDEN,
+) -> Model:
+    """A model from telling words with their statistics, common words and landmarks; ``find`` gives the instances of a round, ``judge`` worst decisions and labels of documents."""
+    values, vectors = np.linalg.eigh(kernels(names, names).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # K^-1/2
-    extra = [w for w in disguised([w for w, _ in telling]) if len(w) <= WINDOW]
-    names = sorted({w for b in bags for w in b}.union(extra))
-    at = {w: i for i, w in enumerate(names)}
-    features = kernels(names, landmarks) @ root
-    score = np.array([1.0 if w in positive else 0.0 for w in names])
-    model = None
-    for turn in range(rounds):
-        for _ in range(4):
-            worst = [max(b, key=lambda w: (score[at[w]], w)) for b in bags]
-            x = features[[at[w] for w in worst]]
-            # all words of clean sentences are clean, not just the worst
-            clean = sorted({w for b, s in zip(bags, y, strict=True) if s < 0 for w in b} | set(hard) & at.keys())
-            xs = np.vstack([x, features[[at[w] for w in extra]], features[[at[w] for w in clean]]])
-            ys = np.r_[y, np.ones(len(extra)), -np.ones(len(clean))]
-            share = np.where(ys > 0, 1 / max(1, (ys > 0).sum()), 1 / max(1, (ys < 0).sum())) * len(ys)
-            share[len(y) : len(y) + len(extra)] *= DISGUISED
-            share[len(y) + len(extra) :] *= np.where(np.isin(clean, hard), HARD, 1)
-            w = svm(xs, ys, share)
-            score = features @ w[:-1] + w[-1]
-        model = Model(landmarks, root @ w[:-1], float(w[-1]))
-        wrong = [] if turn == rounds - 1 else sorted(set(mistaken(clean_words, model)) - set(hard) - positive)
-        if not wrong:
-            break
-        new = [p for p in wrong if p not in at]
-        if new:
-            features = np.vstack([features, kernels(new, landmarks) @ root])
-            score = np.r_[score, np.zeros(len(new))]
-            at |= {p: len(at) + i for i, p in enumerate(new)}
-        hard += wrong
-    seen = decisions(sample.select("doc_id", "text"), model).join(sample.select("doc_id", "toxic"), "doc_id").toPandas()
-    hidden = np.maximum(score[[at[w] for w in extra]], FLOOR)  # a document is as toxic with a disguised word
-    model.slope, model.shift = calibrate(
-        np.r_[seen["decision"].to_numpy(float), hidden], np.r_[seen["toxic"].to_numpy(float), np.ones(len(hidden))], np.r_[np.ones(len(seen)), np.full(len(hidden), HIDDEN)]
-    )
+    masked = {m: g for w, g in told for m in disguised([w]) if len(m) <= WINDOW}  # a disguised word counts as its word's statistic
+    extra, strength = list(masked), np.array(list(masked.values()))
+    known: dict[str, np.ndarray] = {}
+
+    def trained(groups: list[tuple[list[str], list[float], int, float]]) -> Model:
+        """Groups of (words, weights, label, weight of the group)."""
+        groups = [([w[:WINDOW] for w in some], weights, y, share) for some, weights, y, share in groups if some]
+        new = sorted({w for some, *_ in groups for w in some} - known.keys())
+        known.update(zip(new, kernels(new, names) @ root, strict=True))
+        x = np.array([known[w] for some, *_ in groups for w in some])
+        y = np.concatenate([np.full(len(g[0]), float(g[2])) for g in groups])
+        weight = np.concatenate([g[3] * np.array(g[1], float) / np.sum(g[1]) for g in groups]) * len(y)
+        w = svm(x, y, weight)
+        return Model(names, root @ w[:-1], float(w[-1]))
+
+    ones = lambda some: [1.0] * len(some)
+    first = ([w for w, _ in told], [g for _, g in told])
+    model = trained([(*first, 1, 1.0), (extra, strength, 1, disguise), (common, ones(common), -1, 1.0)])
+    for _ in range(rounds):
+        found = find(model)
+        groups = [(found[1], 1, 1.0), (found[0], -1, 1.0), ([x for x in found[0] if x[2] > NEAR], -1, hard)]
+        model = trained([([w for w, *_ in g], [n**0.5 for _, n, _ in g], y, share) for g, y, share in groups] + [(extra, strength, 1, disguise), (common, ones(common), -1, 0.2)])
+    top, toxic = judge(model)
+    alone = np.full((len(extra), TOP), FLOOR)
+    alone[:, 0] = model.decide(extra)  # documents with one disguised word
+    share = hidden * toxic.sum() * strength / strength.sum()
+    model.judge = calibrate(np.vstack([top, alone]), np.r_[toxic, np.ones(len(extra))], np.r_[np.ones(len(top)), share])
     return model
 
 
-def calibrate(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression of the label on the decision, with softened labels."""
+def calibrate(worst: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression of the label on the worst decisions, with softened labels; the last weight is the shift.
+
+    No weight is negative: a worse word never lowers the score.
+    """
     n1, n0 = (weight * toxic).sum(), (weight * (1 - toxic)).sum()
     y = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * decision + b, -40, 40)))
-        g = np.array([(weight * (p - y) * decision).sum() + 1e-3 * a, (weight * (p - y)).sum()])
-        r = weight * p * (1 - p) + 1e-9
-        h = np.array([[(r * decision**2).sum() + 1e-3, (r * decision).sum()], [(r * decision).sum(), r.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-    return float(a), float(b)
+    used = np.ones(worst.shape[1] + 1, bool)
+    while True:
+        x = np.hstack([worst, np.ones((len(worst), 1))])[:, used]
+        ridge = np.r_[np.full(x.shape[1] - 1, 1e-2), 1e-6]
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            h = x.T @ ((weight * p * (1 - p) + 1e-9)[:, None] * x) + np.diag(ridge)
+            w = w - np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + ridge * w), -2, 2)
+        out = np.zeros(len(used))
+        out[used] = w
+        if (out[:-1] >= 0).all():
+            return out
+        used[int(np.argmin(out[:-1]))] = False
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of each row of ``docs`` (doc_id, text)."""
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    odds = F.least(F.greatest(F.col("decision") * model.slope + model.shift, F.lit(-40.0)), F.lit(40.0))
-    return decisions(docs, model).select("doc_id", (1 / (1 + F.exp(-odds))).alias("score"))
+    odds = sum((F.col("decisions")[k] * float(w) for k, w in enumerate(model.judge[:-1])), F.lit(float(model.judge[-1])))
+    return decisions(docs, model).select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-40.0)), F.lit(40.0))))).alias("score"))

@@ -1,6 +1,5 @@
 import itertools
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,10 +26,9 @@ def test_kernel_against_enumeration():
     found = t.kernels(some, marks)
     for i, a in enumerate(some):
         for j, b in enumerate(marks):
-            x, y = f"^{a}$", f"^{b}$"
-            few = len(a) < t.ORDER or sum((Counter(a) & Counter(b)).values()) < t.ORDER
-            want = 0.0 if few else (plain_kernel(x, y) / (plain_kernel(x, x) * plain_kernel(y, y)) ** 0.5) ** t.POWER
+            want = plain_kernel(a, b) / (plain_kernel(a, a) * plain_kernel(b, b)) ** 0.5 if len(a) >= t.ORDER else 0.0
             assert found[i, j] == pytest.approx(want, abs=1e-5)
+    assert np.linalg.eigvalsh(t.kernels(some, [w for w in some if len(w) >= t.ORDER])[[len(w) >= t.ORDER for w in some]].astype(float)).min() > -1e-4
 
 
 def test_words():
@@ -60,14 +58,14 @@ def test_learns_and_tolerates_gaps(spark):
     model = t.fit(docs, marks)
     again = t.fit(docs.repartition(5), marks)
     assert np.allclose(model.alpha, again.alpha, atol=1e-5)
-    probes = ["a mo-ron here", "a pathxetic there", "i d i o t", "p.a.t.h.e.t.i.c", "the vequron thing", "M O R O N"]
+    probes = ["a mo-ron here", "a pathxetic there", "i d i o t", "p.a.t.h.e.t.i.c", "the vequron thing", "M O R O N", "you mor on"]
     clean = ["ther ononha endre", None, "", " ", "of the", "long " * 50000, "therandinhaofereshaandthere" * 2000]
     test = [(1000 + i, p, None) for i, p in enumerate(probes)] + [(2000 + i, p, None) for i, p in enumerate(clean)] + [(None, probes[0], None)] * 2
     found = t.score(docs.unionByName(spark.createDataFrame(test, DOCS)), model).collect()
     assert len(found) == len(rows) + len(test)
     truth = {i: toxic for i, _, toxic in labels}
     for r in found:
-        if r.doc_id is None or r.doc_id in range(1000, 1006):
+        if r.doc_id is None or r.doc_id in range(1000, 1007):
             assert r.score >= 0.3, r
         elif r.doc_id >= 2000:
             assert r.score < 0.3, r
