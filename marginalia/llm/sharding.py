@@ -5,9 +5,10 @@ documents of a group in one shard are alike, so the state is a table (group, sta
 documents only. In each round a group keeps as few of its shards as have room for all its rows, those that
 can hold most of them, and its other units are dealt over their room; a move is granted by a hash with the
 probability that the target's room allows, so no shard gathers much more than its quota. After the last round
-rows leave shards that are over their quota in favour of those with room, rows without links first, then group
-by group, until the law ``rows`` holds: counts at most one apart.
-Ranks come from salted counts, never from one task per shard.
+each group goes whole to the shard that holds most of it, and shards are evened out until the law ``rows`` holds,
+counts at most one apart: their rows are lined up, shard after shard, in each the groups between its rows without
+links, and the line is cut into equal lengths. So at most one group is cut between two shards, and a group that
+no shard can hold lies in as few as possible. Ranks come from salted counts, never from one task per shard.
 
 Nulls and odd rows: a null text counts as empty; null doc_ids hash like a value of their own; repeated
 rows are rows of their own and linked. Other columns are ignored. An empty table has empty shards.
@@ -79,17 +80,21 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = materialize(units.join(linked_groups, "group", "left_semi"))
     spark = rows.sparkSession
     room = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(total / shards).alias("free"))
-    moved = propagate(linked, room, shards, rounds).select("group", F.col("start").alias("_start"), F.col("shard").alias("_moved"))
+    state = propagate(linked, room, shards, rounds)
+    held = state.groupBy("group", "shard").agg(F.sum("rows").alias("held"))
+    homes = materialize(held.groupBy("group").agg(F.max(F.struct("held", "shard")).alias("h")).select("group", F.col("h.shard").alias("_moved")))
+    moved = state.select("group", F.col("start").alias("_start")).join(homes, "group")
     placed = rows.join(materialize(moved), ["group", "_start"], "left").select(
         *[c for c in rows.columns if c != "_start"],
-        F.coalesce("_moved", "_start").cast("int").alias("_shard"), F.col("_moved").isNotNull().cast("int").alias("_linked"),
+        F.coalesce("_moved", "_start").cast("int").alias("_shard"),
+        F.when(F.col("_moved").isNotNull(), 1).otherwise(2 * F.pmod(F.xxhash64("doc_id", "group", F.lit(3)), F.lit(2))).cast("int").alias("_zone"),
     )
     return _level(materialize(placed), shards, total)
 
 
 def _rank_by_group(linked: DataFrame) -> DataFrame:
     """Adds _rank to linked rows: the rows of a group follow each other. No group is gathered in one task."""
-    keys = ["_shard", "_linked"]
+    keys = ["_shard", "_zone"]
     salted = F.pmod(F.xxhash64("group", F.lit(17)), F.lit(salts_for(linked.sparkSession))).cast("int")
     groups = materialize(linked.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("_n")).withColumn("_salt", salted))
     salts = groups.groupBy(*keys, "_salt").agg(F.sum("_n").alias("_n"))
@@ -103,37 +108,21 @@ def _rank_by_group(linked: DataFrame) -> DataFrame:
 
 
 def _level(placed: DataFrame, shards: int, total: int) -> DataFrame:
-    """Move the fewest rows, unlinked ones first, so that shard s holds total // shards rows, or one more if s < total % shards."""
-    lone = rank_within(placed.where("_linked = 0"), ["_shard", "_linked"], F.struct("group", "doc_id"), [F.col("group"), F.col("doc_id")], "_rank")
-    ranked = materialize(lone.unionByName(_rank_by_group(placed.where("_linked = 1"))))
-    sizes = {(r["_shard"], r["_linked"]): r.n for r in ranked.groupBy("_shard", "_linked").agg(F.count(F.lit(1)).alias("n")).collect()}
-    have = [sizes.get((s, 0), 0) + sizes.get((s, 1), 0) for s in range(shards)]
-    order = sorted(range(shards), key=lambda s: (-have[s], s))  # the fullest keep one more
-    want = [total // shards] * shards
-    for s in order[: total % shards]:
-        want[s] += 1
-    over = [max(0, have[s] - want[s]) for s in range(shards)]
-    lone = [min(over[s], sizes.get((s, 0), 0)) for s in range(shards)]
-    leave, number, take = [], 0, []
-    # linked rows are numbered first and the shards with the most room take first, so few shards take them
-    for linked, counts in ((1, [o - n for o, n in zip(over, lone, strict=True)]), (0, lone)):
-        for s in range(shards):
-            leave.append((s, linked, counts[s], number))
-            number += counts[s]
-    at = 0
-    for s in sorted(range(shards), key=lambda s: (have[s] - want[s], s)):
-        if under := max(0, want[s] - have[s]):
-            take.append((at, at + under, s))
-            at += under
-    spark = placed.sparkSession
-    leaving = F.broadcast(spark.createDataFrame(leave, "_shard int, _linked int, _leave long, _first long"))
-    found = ranked.join(leaving, ["_shard", "_linked"])
-    number = F.when(F.col("_rank") < F.col("_leave"), F.col("_first") + F.col("_rank"))
-    target = F.col("_shard")
-    for low, high, s in take:
-        target = F.when((number >= low) & (number < high), F.lit(s)).otherwise(target)
-    levelled = found.withColumn("shard", target.cast("int")).drop("_shard", "_linked", "_leave", "_first", "_rank")
-    return rank_within(materialize(levelled), ["shard"], F.struct("group", "doc_id"), [F.col("group"), F.col("doc_id")], "slot")
+    """Adds shard and slot: the line of all rows by (_shard, _zone, group) cut into total // shards rows, one more for the first ones."""
+    lone = rank_within(placed.where("_zone <> 1"), ["_shard", "_zone"], F.struct("group", "doc_id"), [F.col("group"), F.col("doc_id")], "_rank")
+    ranked = lone.unionByName(_rank_by_group(placed.where("_zone = 1")))
+    sizes = placed.groupBy("_shard", "_zone").agg(F.count(F.lit(1)).alias("n")).orderBy("_shard", "_zone").collect()  # three for each shard at most
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["_shard"], r["_zone"], before))
+        before += r.n
+    starts = placed.sparkSession.createDataFrame(starts, "_shard int, _zone int, _before long")
+    per, more = divmod(total, shards)
+    number = F.col("_before") + F.col("_rank")
+    late = number - more * (per + 1)
+    lined = ranked.join(F.broadcast(starts), ["_shard", "_zone"]).withColumn("shard", F.when(late < 0, F.floor(number / (per + 1))).otherwise(more + F.floor(late / max(per, 1))).cast("int"))
+    slot = F.when(late < 0, F.pmod(number, F.lit(per + 1))).otherwise(F.pmod(late, F.lit(max(per, 1))))
+    return lined.withColumn("slot", slot.cast("long")).drop("_shard", "_zone", "_before", "_rank")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
