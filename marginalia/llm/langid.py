@@ -2,8 +2,10 @@
 
 Texts are lower-cased, runs of anything but letters become one blank, and all 1- to 3-grams are
 hashed into BUCKETS counters. Training counts come from a bounded sample, drawn evenly by a hash of
-doc_id: about PER_LANG documents of each language. The log-probability matrix (BUCKETS x languages)
-is broadcast; every whole text is scored in numpy.
+doc_id: about ``per_lang`` documents of each language. The log-probability matrix (BUCKETS x languages)
+is broadcast; whole texts are scored batch by batch in numpy, as the product of a sparse matrix (texts x buckets)
+with it. The language is the one of the greatest posterior; neighbouring n-grams overlap, so the score is the
+posterior share of evidence made as weak as that of a short text, in the same order.
 
 Nulls and odd rows: a null text or one without a letter is ``und`` with score 0; so is every text if
 there is nothing to learn from. Rows with null lang are never learned from, nor rows with a null
@@ -25,8 +27,10 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Training documents of each language, about.
 PER_LANG = 1500
-#: n-grams of evidence that a score counts at most, and the weight of one (neighbouring ones overlap).
+#: A score's evidence grows with the n-grams of a text towards this many, each of this weight. Predictions use all evidence.
 EVIDENCE, WEIGHT = 600, 0.25
+#: Characters that are scored together, and n-grams looked up at once.
+SLAB, LOOKED_UP = 1 << 18, 1 << 18
 UNKNOWN = "und"
 
 
@@ -39,22 +43,42 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Buckets of all n-grams of a text, repeats included; empty if it has no letter."""
-    chars = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of all n-grams of some texts, repeats included, by order and row; none of a text without a letter.
+
+    The texts are one array: a blank before the first word of each and one behind each word.
+    """
+    lowered = [(t or "").lower() for t in texts]
+    chars = np.frombuffer("".join(f"\0{t}\0" for t in lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(len(lowered)), [len(t) + 2 for t in lowered])
     letter = _letters()[chars]
-    if not letter.any():
-        return np.empty(0, np.uint32)
-    chars = np.where(letter, chars, np.uint32(32))
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    chars = np.concatenate([[32], chars[keep], [32]]).astype(np.uint32)
-    found, rolled = [], np.zeros(len(chars), np.uint32)
+    keep[1:] |= letter[:-1]  # a blank behind each word
+    keep[np.cumsum([0] + [len(t) + 2 for t in lowered[:-1]])[: len(lowered)]] = True
+    keep &= np.bincount(row, letter, len(lowered)).astype(bool)[row]
+    chars, row = np.where(letter, chars, np.uint32(32))[keep], row[keep]
+    rows, found, rolled = [], [], np.zeros(len(chars), np.uint32)
     for n in range(1, max(ORDERS) + 1):
+        if len(chars) < n:
+            break
         rolled = (rolled[: len(chars) - n + 1] * np.uint32(0x01000193)) ^ chars[n - 1 :]
         if n in ORDERS:
-            found.append((rolled * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(16))
-    return np.concatenate(found)
+            inside = row[: len(chars) - n + 1] == row[n - 1 :]
+            rows.append(row[n - 1 :][inside])
+            found.append(((rolled * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(16))[inside])
+    return np.concatenate([*rows, np.empty(0, np.int64)]), np.concatenate([*found, np.empty(0, np.uint32)])
+
+
+def slabs(texts: list[str | None], size: int = SLAB) -> Iterator[slice]:
+    """Runs of texts of about that many characters together."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t or "") > size:
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(t or "") + 2
+    if held:
+        yield slice(start, len(texts))
 
 
 class Model:
@@ -66,17 +90,29 @@ class Model:
         self.logp = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
         self.prior = np.log(priors / priors.sum())
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        at = grams(text)
-        if not len(at) or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(at), 1 << 16):
-            total += np.take(self.logp, at[i : i + (1 << 16)], axis=0).sum(axis=0, dtype=np.float64)
-        evidence = total * (WEIGHT * min(1.0, EVIDENCE / len(at))) + self.prior
-        share = np.exp(evidence - evidence.max())
-        best = int(np.argmax(evidence))
-        return self.langs[best], float(share[best] / share.sum())
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-posteriors of each text up to a constant (texts x languages), and its number of n-grams."""
+        row, bucket = grams(texts)
+        out = np.tile(self.prior, (len(texts), 1))
+        for at in range(0, len(row), LOOKED_UP):
+            own = row[at : at + LOOKED_UP]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            # the rows of an order ascend, so they are distinct between two falls
+            np.add.at(out, own[starts], np.add.reduceat(self.logp[bucket[at : at + LOOKED_UP]], starts, axis=0, dtype=np.float64))
+        return out, np.bincount(row, minlength=len(texts))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        langs, scores = [], np.zeros(len(texts))
+        for part in slabs(texts):
+            found, n = self.posteriors(texts[part])
+            best = found.argmax(axis=1)
+            weak = (found - found.max(axis=1, keepdims=True)) * (WEIGHT * EVIDENCE / (EVIDENCE + n))[:, None]
+            scores[part] = np.where(n > 0, 1 / np.exp(weak).sum(axis=1), 0.0)
+            langs += [self.langs[k] if m else UNKNOWN for k, m in zip(best.tolist(), n.tolist(), strict=True)]
+        return langs, scores
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -93,8 +129,10 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(langs), BUCKETS), np.int64)
         for frame in frames:
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
-                total[number[lang]] += np.bincount(grams(text), minlength=BUCKETS)
+            texts, which = frame["text"].tolist(), frame["lang"].map(number).to_numpy(np.int64)
+            for part in slabs(texts):
+                row, bucket = grams(texts[part])
+                total += np.bincount(which[part][row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         which, bucket = np.nonzero(total)
         yield pd.DataFrame({"k": which, "bucket": bucket, "n": total[which, bucket]})
 
@@ -110,10 +148,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+            langs, scores = shared.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
@@ -124,9 +160,9 @@ def relabel(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
-            new = pa.array([lang for lang, _ in found], pa.string())
-            keep = pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
+            langs, scores = shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            new = pa.array(langs, pa.string())
+            keep = pa.array((scores >= least) & (np.array(langs, object) != UNKNOWN), pa.bool_())
             yield batch.set_column(batch.schema.get_field_index("lang"), "lang", new).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
