@@ -51,10 +51,7 @@ def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spotsigs.with_next(spotsigs.fingerprints(read_table(spark, sf_dir, "documents")), ["text", "signatures"])
-    rows = rows.withColumn("edited", spotsigs.edited_text())
-    rows = spotsigs.with_signatures(rows, "edited", "edited_signatures")
-    return rows.select(
+    return spotsigs.edited_fingerprints(read_table(spark, sf_dir, "documents")).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.fingerprint("signatures").alias("fingerprint"), spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
         spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"), spotsigs.likeness("signatures", "next_signatures").alias("near_next"),

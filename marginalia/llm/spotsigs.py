@@ -2,14 +2,14 @@
 
 A spot is a common word (anchor) with the chain of the next CHAIN content words; its hash is a signature,
 and a document's fingerprint is the ordered set of its signatures. Texts are lower-cased and split at
-anything but letters and digits. Where fewer than one word in SPARSE is common (tables, other languages),
-words whose hash is 0 modulo SPARE are anchors too. The likeness of two fingerprints is the Jaccard coefficient of the sets.
+anything but letters and digits. The likeness of two fingerprints is the Jaccard coefficient of the sets.
 ``similar_pairs`` finds all pairs at least as alike as a threshold: equal sets stand for one, sets are
-compared only with sets of a fitting length, and only if their rarest signatures meet.
+partitioned by their length and compared only with those of a fitting one, and only if their rarest
+signatures meet.
 
-Nulls and odd rows: a null text is empty. A text without an anchor has its words as signatures, one without
-words an empty fingerprint; two empty ones are alike 1, an empty and another one 0. Equal doc_ids are
-ordered by the hash of their texts, null ones come first. Repeated rows are rows of their own; other
+Nulls and odd rows: a null text is empty. A text without an anchor (tables, other languages) has its words as
+signatures, one without words an empty fingerprint; two empty ones are alike 1, an empty and another one 0. Equal
+doc_ids are ordered by the hash of their texts, null ones come first. Repeated rows are rows of their own; other
 columns are ignored.
 """
 
@@ -31,8 +31,9 @@ ANCHORS = (
 ).split()
 #: Content words of a chain, and segments between anchors in which they are looked for.
 CHAIN, REACH = 2, 4
-SPARSE, SPARE = 6, 8
 MARK = "\u0001"
+#: Rows of a range of doc_ids, about; ranges at most (each is a row of a broadcast table); knots of the distribution.
+RANGE, RANGES, KNOTS = 20_000, 1 << 16, (16, 16)
 
 
 def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] | None = None) -> DataFrame:
@@ -40,14 +41,7 @@ def with_signatures(df: DataFrame, text: str, out: str, anchors: list[str] | Non
     known = list(anchors or ANCHORS)
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     df = df.withColumn("_words", F.split(plain, " "))
-    sparse = F.size(F.filter("_words", lambda w: w.isin(known))) * SPARSE < F.size("_words")
-
-    def mark(anchor) -> Column:
-        return F.array_join(F.transform("_words", lambda w: F.when(anchor(w), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
-
-    # whether a text is sparse is asked once outside the functions of words, which would ask for each word
-    spare = lambda w: w.isin(known) | ((w != "") & (F.pmod(F.xxhash64(w), F.lit(SPARE)) == 0))
-    marked = F.when(sparse, mark(spare)).otherwise(mark(lambda w: w.isin(known)))
+    marked = F.array_join(F.transform("_words", lambda w: F.when(w.isin(known), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
     df = df.withColumn("_parts", F.split(marked, MARK))
     # the parts after the first begin with an anchor; each is zipped with those behind it
     parts = F.col("_parts")
@@ -77,33 +71,59 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column>, the columns of the row with the next doc_id; after the last row comes the first.
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Adds _id (doc_id, the least number for null), _hash of the text, and _range, which never falls in their order.
 
-    Rows are dealt to ranges of doc_id of about equal counts (knots of its distribution, linear between),
-    and the first rows of a range also stand behind the last one of the range before.
+    Ranges hold about equal counts: between knots of the distribution of doc_ids they are linear, and an id that
+    several knots share is split by the hash of its texts.
+    """
+    coarse, fine = KNOTS
+    every = coarse * fine
+    rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_id", [k / every for k in range(every + 1)], 10_000).alias("knots")).first()
+    if not seen.n:
+        return rows.withColumn("_range", F.lit(0))
+    least = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(RANGES, max(least, math.ceil(seen.n / RANGE)))
+    knots = [F.lit(k) for k in seen.knots]
+    below = lambda array, strict: F.size(F.filter(array, (lambda k: k < F.col("_id")) if strict else (lambda k: k <= F.col("_id"))))
+    blocks = F.array(*[F.array(*knots[k * fine : (k + 1) * fine]) for k in range(coarse)])
+    firsts = F.array(*knots[fine:every:fine])  # first knots of the blocks but the first
+
+    def place(strict: bool) -> Column:
+        """Number of knots below the id (or not above it), counted in a block only."""
+        block = below(firsts, strict)
+        return block * fine + below(F.element_at(blocks, block + 1), strict)
+
+    rows = rows.withColumn("_low", place(True)).withColumn("_high", F.greatest(place(False), F.lit(1)))
+    at = F.array(*knots)
+    before, after = F.element_at(at, F.col("_high")).cast("double"), F.element_at(at, F.col("_high") + 1).cast("double")
+    part = F.col("_hash") / F.lit(float(1 << 64)) + 0.5
+    inside = F.when(after > before, F.least((F.col("_id").cast("double") - before) / (after - before), F.lit(1.0))).otherwise(0.0)
+    spread = F.when(F.col("_high") - F.col("_low") > 1, F.col("_low") + part * (F.col("_high") - F.col("_low") - 1)).otherwise(F.col("_high") - 1 + inside)
+    number = F.least(F.floor(spread * (ranges / every)), F.lit(ranges - 1))
+    return rows.withColumn("_range", F.greatest(number, F.lit(0)).cast("int")).drop("_low", "_high")
+
+
+def beside_next(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) by ranges, the first row of each range also, with _behind = 1, behind the last row of the range before it.
+
+    After the last row comes the first. Only (doc_id, text) is shuffled; what is asked of the next row follows by ``next_of``.
     """
-    spark = rows.sparkSession
-    knots = 16
-    at = [k / knots for k in range(knots + 1)]
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", at, 1000).alias("knots")).first()
-    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen.n / 20_000))
-    spread, step = F.lit(0.0), ranges / knots
-    for k, (low, high) in enumerate(zip(seen.knots or [], (seen.knots or [])[1:], strict=False)):
-        if high > low:
-            spread = F.when(F.col("doc_id") >= low, k * step + (F.least(F.col("doc_id"), F.lit(high)) - low) / (high - low) * step).otherwise(spread)
-    ranged = rows.withColumn("_range", F.least(F.floor(spread), F.lit(ranges - 1)).cast("int"))
-    firsts = ranged.select("doc_id", "_range").groupBy("_range").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("_none"))
-    order = Window.orderBy("_range")
-    every = Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.lag("_range").over(order), F.max("_range").over(every))
-    firsts = firsts.select(F.when(~F.col("_none"), F.col("doc_id")).alias("_first"), before.alias("_before"))
-    behind = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("_first"))).withColumn("_range", F.col("_before")).drop("_first", "_before")
-    both = ranged.withColumn("_behind", F.lit(0)).unionByName(behind.withColumn("_behind", F.lit(1)))
-    inside = Window.partitionBy("_range").orderBy("_behind", "doc_id", F.xxhash64("text"))
-    for c in columns:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(inside))
-    return both.where("_behind = 0").drop("_range", "_behind")
+    ranged = in_ranges(rows)
+    firsts = ranged.groupBy("_range").agg(F.min(F.struct("_id", "_hash")).alias("_f"))
+    # a row for each range, RANGES at most
+    before = F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.max("_range").over(Window.partitionBy(F.lit(0))))
+    firsts = firsts.select(F.col("_range").alias("_own"), F.col("_f._id").alias("_first"), F.col("_f._hash").alias("_fh"), before.alias("_before"))
+    behind = ranged.join(F.broadcast(firsts), (F.col("_range") == F.col("_own")) & (F.col("_id") == F.col("_first")) & (F.col("_hash") == F.col("_fh")))
+    behind = behind.dropDuplicates(["_range"]).withColumn("_range", F.col("_before")).select(*ranged.columns)
+    return ranged.withColumn("_behind", F.lit(0)).unionByName(behind.withColumn("_behind", F.lit(1)))
+
+
+def next_of(rows: DataFrame, column: str) -> DataFrame:
+    """Adds next_<column> to rows of ``beside_next``."""
+    inside = Window.partitionBy("_range").orderBy("_behind", "_id", "_hash")
+    return rows.withColumn(f"next_{column}", F.lead(column).over(inside))
 
 
 def edited_text(text: str = "text", following: str = "next_text") -> Column:
@@ -113,17 +133,29 @@ def edited_text(text: str = "text", following: str = "next_text") -> Column:
     return F.concat(F.substring(F.col(text), F.lit(1), n - cut), F.substring(F.col(following), F.lit(1), cut))
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents, null texts as empty ones."""
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text, signatures) for documents (doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_signatures(rows, "text", "signatures")
+    return with_signatures(texts(docs), "text", "signatures")
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, signatures, edited, edited_signatures, next_signatures) of each document and its edited text."""
+    rows = next_of(beside_next(texts(docs)), "text").withColumn("edited", edited_text()).drop("next_text")
+    rows = next_of(with_signatures(rows, "text", "signatures"), "signatures").where("_behind = 0").drop("_range", "_behind", "_id", "_hash")
+    return with_signatures(rows, "edited", "edited_signatures")
 
 
 def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of classes of equal signature sets with a < b, and members (doc_id, class).
 
     A class is the hash of its set. Of two sets that are alike by the threshold, the lengths differ at most
-    by its factor and one of the rarest signatures of each is the same; only such pairs are compared.
+    by its factor and one of the rarest signatures of each is the same; only such pairs are compared. Lengths are
+    partitioned by powers of the factor, and a partition meets itself and the next longer one.
     """
     members = materialize(prints.select("doc_id", F.xxhash64("signatures").alias("class")))
     sets = materialize(prints.select(F.xxhash64("signatures").alias("class"), "signatures").dropDuplicates(["class"]))
@@ -132,9 +164,12 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     rare = Window.partitionBy("class").orderBy("df", "s")
     kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     probes = materialize(single.join(counts, "s").withColumn("_k", F.row_number().over(rare)).where(F.col("_k") <= kept).select("class", "n", "s"))
-    left, right = (probes.select("s", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = materialize(left.join(right, "s").where(fits).select("a", "b").distinct())
+    length = F.floor(F.log(F.col("n")) / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("n")
+    left, right = (probes.select("s", F.col("class").alias(c), F.col("n").alias(f"n_{c}"), length.cast("int").alias("length")) for c in "ab")
+    left = left.withColumn("own", F.col("length")).withColumn("length", F.explode(F.array(F.col("length"), F.col("length") + 1)))
+    fits = ((F.col("length") > F.col("own")) | (F.col("a") < F.col("b"))) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+    found = left.join(right, ["s", "length"]).where(fits)
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("class").alias(c), F.col("signatures").alias(f"set_{c}")), c)
     found = pairs.select("a", "b", likeness("set_a", "set_b").alias("likeness")).where(F.col("likeness") >= threshold)
