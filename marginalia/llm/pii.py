@@ -5,7 +5,8 @@ semi-Markov CRF adds spans that the patterns miss (telephone numbers without a p
 addresses): windows around digits and at-signs are cut into tokens, every token run of bounded length
 that could be an entity (and has valid digits) is a candidate segment scored by features of the whole
 span, and dynamic programming chooses boundaries and types of all entities together. It learns by maximum
-likelihood from a bounded sample of windows whose base spans are the labels, each also in a disguised variant.
+likelihood from a bounded sample of windows (``sample`` in all, ``of_document`` of a document, both drawn by hashes)
+whose base spans are the labels, each also in disguised variants.
 
 Nulls and odd rows: a null text is empty and has no span. Repeated rows are rows of their own; a null
 doc_id passes through; other columns are ignored. Offsets are code points, ends exclusive. Without any
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Windows that the model learns from, about.
-SAMPLE = 600
+#: Windows that the model learns from, and those of one document, at most.
+SAMPLE, OF_DOCUMENT = 600, 50
 #: Characters of context around digits and at-signs, and tokens of an entity at most.
 CONTEXT, LONGEST = 48, 18
 
@@ -207,24 +209,29 @@ class SemiCrf:
         for turn in range(rounds):
             step = rate / (1 + 0.3 * turn)
             for n, cs, feats, gold in coded:
-                s = [float(w[f].sum()) for f in feats]
-                ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-                ends, starts = {}, {}
-                for k, c in enumerate(cs):
-                    ends.setdefault(c[1], []).append(k)
-                    starts.setdefault(c[0], []).append(k)
-                for t in range(1, n + 1):
-                    ahead[t] = _logsum([ahead[t - 1], *(ahead[cs[k][0]] + s[k] for k in ends.get(t, ()))])
-                for t in range(n - 1, -1, -1):
-                    behind[t] = _logsum([behind[t + 1], *(behind[cs[k][1]] + s[k] for k in starts.get(t, ()))])
+                shares = marginals(n, cs, [float(w[f].sum()) for f in feats])
                 for k, f in enumerate(feats):
-                    off = (k in gold) - math.exp(min(0.0, ahead[cs[k][0]] + s[k] + behind[cs[k][1]] - ahead[n]))
+                    off = (k in gold) - shares[k]
                     if abs(off) > 1e-4:
                         w[f] += step * off
             w *= 1 - decay
         return SemiCrf({f: float(w[k]) for f, k in names.items()})
 
 
+def marginals(n: int, cands: list[tuple], scores: list[float]) -> list[float]:
+    """Probability of each candidate among all segmentations of n tokens, by forward and backward sums."""
+    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+    ends, starts = {}, {}
+    for k, c in enumerate(cands):
+        ends.setdefault(c[1], []).append(k)
+        starts.setdefault(c[0], []).append(k)
+    for t in range(1, n + 1):
+        ahead[t] = _logsum([ahead[t - 1], *(ahead[cands[k][0]] + scores[k] for k in ends.get(t, ()))])
+    for t in range(n - 1, -1, -1):
+        behind[t] = _logsum([behind[t + 1], *(behind[cands[k][1]] + scores[k] for k in starts.get(t, ()))])
+    return [math.exp(min(0.0, ahead[c[0]] + s + behind[c[1]] - ahead[n])) for c, s in zip(cands, scores, strict=True)]
+
+
 def _logsum(values: list[float]) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values)) if len(values) > 1 else top
@@ -247,7 +254,12 @@ def example(window: str, spans: list[Span]) -> tuple[int, list, set[int]]:
     return len(tokens), cands, gold
 
 
-def disguised(window: str, spans: list[Span]) -> tuple[str, list[Span]]:
+#: Ways to write what the patterns don't expect: separators of a telephone number's groups, and an address's two signs.
+SEPARATORS, SIGNS = (None, " ", "."), ((" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "))
+VARIANTS = 3
+
+
+def disguised(window: str, spans: list[Span], variant: int = 0) -> tuple[str, list[Span]]:
     """The window with its telephone numbers and addresses written as the patterns don't expect."""
     out, new, done = "", [], 0
     for a, b, kind in spans:
@@ -258,24 +270,28 @@ def disguised(window: str, spans: list[Span]) -> tuple[str, list[Span]]:
             piece = re.sub(r"^\+[0-9]{1,3} (?=\()", "", piece).lstrip("+")
             if not 9 <= len(only_digits(piece)) <= 15:
                 piece = window[a:b].lstrip("+")
+            if (mark := SEPARATORS[variant]) is not None:
+                piece = mark.join(re.findall("[0-9]+", piece))
         elif kind == "email":
             name, _, host = piece.partition("@")
-            piece = f"{name} [at] {host.replace('.', ' [dot] ')}"
+            at, dot = SIGNS[variant]
+            piece = f"{name}{at}{host.replace('.', dot)}"
         out += window[done:a]
         new.append((len(out), len(out) + len(piece), kind))
         out, done = out + piece, b
     return out + window[done:], new
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiCrf:
-    """Learn from about ``sample`` windows of (text); the same rows give the same weights."""
+def fit(docs: DataFrame, sample: int = SAMPLE, of_document: int = OF_DOCUMENT) -> SemiCrf:
+    """Learn from at most ``sample`` windows of (text), ``of_document`` of one text; the same rows give the same weights."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for text in frame["text"]:
                 spans = base_spans(text)
-                rows += [{"at": a, "window": text[a:b], "spans": ",".join(f"{k}:{s - a}:{e - a}" for s, e, k in spans if a <= s and e <= b)} for a, b in windows(text)][:50]
+                own = sorted(windows(text), key=lambda w: zlib.crc32(text[w[0] : w[1]].encode("utf-8", "surrogatepass")))[:of_document]
+                rows += [{"at": a, "window": text[a:b], "spans": ",".join(f"{k}:{s - a}:{e - a}" for s, e, k in spans if a <= s and e <= b)} for a, b in own]
             yield pd.DataFrame(rows, columns=["at", "window", "spans"])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]'")
@@ -288,7 +304,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiCrf:
         spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in r.spans.split(",") if x)
         examples.append(example(r.window, spans))
         if any(k in ("phone", "email") for _, _, k in spans):
-            examples.append(example(*disguised(r.window, spans)))
+            examples += [example(*disguised(r.window, spans, v)) for v in range(VARIANTS)]
     return SemiCrf.fit(examples) if any(g for _, _, g in examples) else SemiCrf()
 
 

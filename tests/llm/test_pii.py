@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 import time
 
@@ -70,3 +72,38 @@ def test_nothing_to_learn(spark):
     model = pii.fit(empty)
     assert not model.weights and pii.find(empty, model).count() == 0
     assert pii.find(spark.createDataFrame([(1, "a@b.cd", None)], SCHEMA), model).first().spans == "email:0:6"
+
+
+def segmentations(n, cands):
+    """All sets of candidates that don't overlap, by enumeration."""
+    out = [[]]
+    for k, c in enumerate(cands):
+        out += [[*chosen, k] for chosen in out if all(cands[x][1] <= c[0] or c[1] <= cands[x][0] for x in chosen)]
+    return out
+
+
+def test_dynamic_programming_against_enumeration():
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        spans = {(i, rng.randint(i + 1, n), rng.choice(pii.KINDS)) for i in (rng.randrange(n) for _ in range(rng.randint(0, 9)))}
+        cands = [(i, j, kind, [f"{i} {j} {kind}"]) for i, j, kind in sorted(spans, key=lambda c: (c[1], c[0], c[2]))]
+        model = pii.SemiCrf({c[3][0]: rng.uniform(-2, 2) for c in cands})
+        scores = model.scores(cands)
+        every = segmentations(n, cands)
+        total = {tuple(s): sum(scores[k] for k in s) for s in every}
+        best = model.decode(n, cands)
+        assert abs(sum(scores[k] for k in best) - max(total.values())) < 1e-9 and tuple(sorted(best)) in total
+        norm = sum(math.exp(v) for v in total.values())
+        found = pii.marginals(n, cands, scores)
+        for k in range(len(cands)):
+            assert abs(found[k] - sum(math.exp(v) for s, v in total.items() if k in s) / norm) < 1e-9
+
+
+def test_disguises_keep_their_spans():
+    window = "call +49 30 123 45 678 or mail ann.lee@example.org now"
+    spans = [(s, e, k) for s, e, k in pii.base_spans(window)]
+    for variant in range(pii.VARIANTS):
+        text, found = pii.disguised(window, spans, variant)
+        n, cands, gold = pii.example(text, found)
+        assert len(found) == 2 and len(gold) == 2, (variant, text)
