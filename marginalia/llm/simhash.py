@@ -43,7 +43,11 @@ def text_fingerprint(text: str | None, size: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
