@@ -5,16 +5,43 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in a session of one machine that names none, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a temporary folder where that is unset) and read it back."""
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/marginalia-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the session's tables, in the order in which they were written."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def delete_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables (all of the session's, if none are named) when no result is read from them any more."""
+    own = _written.get(spark.sparkContext.applicationId, [])
+    gone = own[:] if paths is None else [p for p in paths if p in own]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        own.remove(path)
+    return len(gone)
