@@ -197,4 +197,4 @@ def compact_expr(text: Column) -> Column:
 
 def count_occurrences(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("long")

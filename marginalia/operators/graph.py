@@ -6,7 +6,7 @@ Everything is joins on exact normalised keys; build it from all notes, not from
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
@@ -16,6 +16,8 @@ from .tables import snapshot
 
 # How far a walk goes.
 FAN_OUT, NODES_MOST, HUB = 20, 50, 30
+#: Candidates that are named for a link without a target; their number is that of all.
+NAMED_MOST = 50
 
 
 @F.pandas_udf(StringType())
@@ -43,7 +45,9 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     """(src, raw, target, candidates) of the distinct links of each note.
 
     Wiki links: a path of any root, a path of the own root, else a name that one note of the root has. Others
-    get candidates by name, title or alias, which never resolve. Markdown links are paths from the note's folder.
+    get candidates by name, title or alias, which never resolve: the first NAMED_MOST by path, from tables that hold
+    no more for a key, so a frequent name is not multiplied by the links to it. Markdown links are paths from the
+    note's folder.
     """
     known = snapshot(nodes(notes))
     prefixed = known.where("root is not null").select(lookup_form_udf("path").alias("p_key"), F.col("path").alias("p_path"))
@@ -57,12 +61,18 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     wiki = wiki.select("src", "scope", "raw", "form", F.coalesce("p_path", "l_path", unique).alias("target"))
     lost = wiki.where("target is null").select("src", "scope", "raw", "form").withColumn("declared", nfc_udf("raw"))
     hints = lambda keyed, on, rank: lost.join(keyed, (F.col("scope") == F.col("h_scope")) & (F.col(on) == F.col("h_key"))).select("src", "raw", F.col("h_path").alias("note"), F.lit(rank).alias("rank"))
-    as_hint = lambda frame, key: frame.select(F.col("scope").alias("h_scope"), key.alias("h_key"), F.col("path").alias("h_path"))
+
+    def as_hint(frame: DataFrame, key: Column) -> DataFrame:
+        keyed = frame.select(F.col("scope").alias("h_scope"), key.alias("h_key"), F.col("path").alias("h_path")).where("h_key is not null").distinct()
+        first = Window.partitionBy("h_scope", "h_key").orderBy("h_path")
+        return keyed.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= NAMED_MOST).drop("_k")
+
     every = hints(as_hint(known, F.col("name")), "form", 0).unionByName(hints(as_hint(known, nfc_udf("title")), "declared", 1))
     by_alias = known.select("scope", "path", F.explode("aliases").alias("alias"))
     every = every.unionByName(hints(as_hint(by_alias, nfc_udf("alias")), "declared", 2))
     via = F.element_at(F.array(F.lit("basename"), F.lit("title"), F.lit("alias")), F.col("rank") + 1)
     ways = every.groupBy("src", "raw", "note").agg(F.min("rank").alias("rank")).groupBy("src", "raw").agg(F.array_sort(F.collect_list(F.struct(F.col("note").alias("path"), via.alias("via")))).alias("candidates"))
+    ways = ways.withColumn("candidates", F.slice("candidates", 1, NAMED_MOST))  # of three tables of so many at most
     wiki = wiki.join(ways, ["src", "raw"], "left").select("src", "raw", "target", "candidates")
     md = source.select("src", "scope", "local_path", F.explode(F.array_distinct("md_links")).alias("raw"))
     md = md.withColumn("form", lookup_form_udf("raw")).withColumn("relative", resolve_udf("raw", "local_path"))
@@ -85,21 +95,25 @@ def both_ways(edge: DataFrame) -> DataFrame:
     return edge.union(edge.select("dst", "src")).distinct()
 
 
-def degrees(edge: DataFrame) -> DataFrame:
-    """(path, degree): distinct neighbours in either direction."""
-    return both_ways(edge).groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("degree"))
+def degrees(edge: DataFrame, both: DataFrame | None = None) -> DataFrame:
+    """(path, degree): distinct neighbours in either direction. both: the edges both ways, if they are a table already."""
+    return (both_ways(edge) if both is None else both).groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int = 1, direction: str = "both", fan_out: int = FAN_OUT, most: int = NODES_MOST, hub: int = HUB, settled: bool = False) -> DataFrame:
     """(origin, path, distance, via) of walks from each origin (column path).
 
     A node shows its ``fan_out`` latest neighbours, seen or not; hubs are reached but not passed, except as
-    origins; a walk ends at ``most`` nodes. settled: the edges are a table already.
+    origins; a walk ends at ``most`` nodes. These bounds may only be lowered. settled: the edges are a table already.
     """
     if depth not in (0, 1, 2):
         raise ValueError("depth must be 0, 1 or 2")
+    for name, asked, ceiling in (("fan_out", fan_out, FAN_OUT), ("most", most, NODES_MOST), ("hub", hub, HUB)):
+        if isinstance(asked, bool) or not isinstance(asked, int) or not 0 <= asked <= ceiling:
+            raise ValueError(f"{name} must be a whole number from 0 to {ceiling}")
     edge = edge if settled else snapshot(edge)
-    one = {"out": edge, "in": edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": both_ways(edge)}[direction]
+    twice = snapshot(both_ways(edge)) if depth > 1 else both_ways(edge)
+    one = {"out": edge, "in": edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": twice}[direction]
     latest = Window.partitionBy("src").orderBy(F.desc("effective_ts"), F.collate(F.col("dst"), "UNICODE"), "dst")
     shown = one.join(known.select(F.col("path").alias("dst"), "effective_ts"), "dst").withColumn("rk", F.row_number().over(latest)).where(F.col("rk") <= fan_out).select("src", "dst", "rk")
     start = origins.select(F.col("path").alias("origin")).distinct()
@@ -109,7 +123,7 @@ def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int
     if depth < 2:
         return first if depth else first.limit(0)
     first = snapshot(first)
-    passed = first.join(degrees(edge), "path", "left").where(F.coalesce("degree", F.lit(0)) <= hub).select("origin", F.col("path").alias("hop"))
+    passed = first.join(degrees(edge, twice), "path", "left").where(F.coalesce("degree", F.lit(0)) <= hub).select("origin", F.col("path").alias("hop"))
     reached = passed.join(shown, F.col("hop") == F.col("src")).where("dst <> origin").select("origin", "hop", F.col("dst").alias("path"), "rk")
     reached = reached.join(first.select("origin", "path"), ["origin", "path"], "left_anti")
     order = Window.partitionBy("origin", "path").orderBy(F.collate(F.col("hop"), "UNICODE"), "hop", "rk")
@@ -120,16 +134,27 @@ def neighbours(edge: DataFrame, origins: DataFrame, known: DataFrame, depth: int
     return first.unionByName(second)
 
 
-def trace(notes: DataFrame, path: str, depth: int = 1, direction: str = "both") -> dict[str, DataFrame]:
-    """Links, backlinks and, beyond one step, neighbours of one note."""
-    links = resolved_links(notes)
+def trace(notes: DataFrame, path: str, depth: int = 1, direction: str = "both", fetched: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Links, backlinks and, beyond one step, neighbours of one note, each in its order.
+
+    fetched: the note's own row; it counts where a scan has left the note out.
+    """
+    if fetched is not None:
+        notes = notes.unionByName(fetched.join(notes.select("path"), "path", "left_anti"), allowMissingColumns=True)
+    links = snapshot(resolved_links(notes))
     edge = edges(links)
     known = nodes(notes)
+    mine = links.where(F.col("src") == path)
+    collated = F.collate(F.col("path"), "UNICODE")
+    named = known.select("path", "id", "title")
+    back = backlinks(edge).where(F.col("path") == path).select(F.col("source").alias("path")).join(named, "path")
     out = {
         "source_refs": notes.where(F.col("path") == path).select(F.explode("source_refs").alias("source_ref")),
-        "resolved_outgoing": links.where(F.col("src") == path).orderBy(F.collate(F.col("raw"), "UNICODE"), "target"),
-        "backlinks": backlinks(edge).where(F.col("path") == path).join(known.select(F.col("path").alias("source"), "id", "title"), "source"),
+        "outgoing_links": mine.select("raw").distinct().orderBy(F.hex(F.encode("raw", "UTF-16BE"))),  # by code unit
+        "resolved_outgoing": mine.orderBy(F.collate(F.col("raw"), "UNICODE"), "target"),
+        "backlinks": back.orderBy(collated, "path"),
     }
     if depth > 1:
-        out["related"] = neighbours(edge, known.where(F.col("path") == path), known, depth, direction)
+        near = neighbours(edge, known.where(F.col("path") == path), known.select("path", "effective_ts"), depth, direction)
+        out["related"] = near.join(named, "path").orderBy("distance", collated, "path")
     return out

@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..functions.markdown import project_body
 from ..functions.text import CJK_RANGES, _SPACES, compact_udf, count_occurrences, fold, fold_udf, snippet_udf
 
 # Weights of the score and limits of a page.
 TITLE, PATH, TAG, BODY_MOST, PHRASE = 10, 4, 5, 8, 4
-PAGE, PAGE_MOST, HALF_LIFE_DAYS = 10, 50, 90.0
+PAGE, PAGE_MOST, HALF_LIFE_DAYS = 10, 50, 30.0
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ def _pieces(token: str, spark: SparkSession | None) -> list[str]:
             if breaks.getRuleStatus() >= 100:
                 words.append(utf16[2 * start : 2 * end].decode("utf-16-le"))
             start, end = end, breaks.next()
-    except Exception:  # no session, or no ICU in it
+    except (AttributeError, TypeError):  # no session, or a JVM without ICU
         words = [token[i : i + 2] for i in range(len(token) - 1)]
     lone = lambda w: len(w) == 1 and "ぁ" <= w <= "ゟ"
     return [w for w in words if w != token and not lone(w)]
@@ -152,14 +153,14 @@ def ranked(notes: DataFrame, query: str | None = None, order: str | None = None,
 
 
 def search(notes: DataFrame, query: str | None = None, limit: int | None = None, offset: int | None = None, explain: bool = False, compact: Column | None = None, **options) -> DataFrame:
-    """A page of results with snippets, best first; column rank keeps the order."""
+    """A page of results with snippets, best first; ``rank`` (from 1) keeps the order when it is written."""
     found, order, terms = ranked(notes, query, **options)
     size, skip = min(max(PAGE if limit is None else limit, 1), PAGE_MOST), max(offset or 0, 0)
     page = found.orderBy(*order).offset(skip).limit(size)
+    page = page.withColumn("rank", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + skip).cast("int"))  # PAGE_MOST rows at most
     texts = compact if compact is not None else compact_udf("body")
-    columns = ["id", "path", "title", "client", "project", "tags", "score", "root", "effective_ts", "size_bytes"]
-    page = page.select(*columns, *([c for c in found.columns if c.startswith("score_")] if explain else []), snippet_udf([t.text for t in terms])(texts).alias("snippet"))
-    return page
+    columns = ["rank", "id", "path", "title", "client", "project", "tags", "score", "root", *[c for c in ("modified_at", "updated_at") if c in found.columns], "effective_ts", "size_bytes"]
+    return page.select(*columns, *([c for c in found.columns if c.startswith("score_")] if explain else []), snippet_udf([t.text for t in terms])(texts).alias("snippet"))
 
 
 def total_count(notes: DataFrame, query: str | None = None, **options) -> DataFrame:
@@ -169,10 +170,11 @@ def total_count(notes: DataFrame, query: str | None = None, **options) -> DataFr
 
 
 def list_projects(notes: DataFrame, client: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
-    """Notes and latest change of each client and project."""
+    """Notes and latest change of the files of each client and project, in their order."""
     scoped = in_scope(notes, client=client, tags=tags)
     by = scoped.groupBy(F.coalesce("client", F.lit("unknown")).alias("client"), F.coalesce("project", F.lit("uncategorized")).alias("project"))
-    return by.agg(F.count(F.lit(1)).alias("document_count"), F.max("effective_ts").alias("latest"))
+    found = by.agg(F.count(F.lit(1)).alias("document_count"), F.max("modified_at").alias("latest"))
+    return found.orderBy(F.collate(F.col("client"), "UNICODE"), F.collate(F.col("project"), "UNICODE"))
 
 
 def compat_search(notes: DataFrame, query: str, base_url: str, **options) -> DataFrame:
@@ -200,8 +202,11 @@ FETCHED = StructType(
 )
 
 
-def fetch(notes: DataFrame, sections: Sequence[str] | None = None, max_chars: int | None = None) -> DataFrame:
-    """Public columns of notes with their bodies, or the parts of them that are asked for."""
+def fetch(notes: DataFrame, sections: Sequence[str] | None = None, max_chars: int | None = None, plain: bool = False) -> DataFrame:
+    """Public columns of notes with their bodies, or the parts of them that are asked for.
+
+    plain: no body has characters beyond the basic plane, so the JVM can count them.
+    """
 
     @F.pandas_udf(FETCHED)
     def part(s: pd.Series) -> pd.DataFrame:
@@ -211,21 +216,37 @@ def fetch(notes: DataFrame, sections: Sequence[str] | None = None, max_chars: in
     public = notes.select("id", "path", "title", "client", "project", "tags", "root", "effective_ts", "size_bytes", "body")
     if sections is None and max_chars is None:
         return public
+    if sections is None and plain:
+        cut = F.char_length("body") > max_chars
+        columns = {"truncated": cut, "total_chars": F.char_length("body").cast("long"), "sections_matched": F.lit(None).cast("array<string>"), "body": F.when(cut, F.substring("body", 1, max_chars)).otherwise(F.col("body"))}
+        return public.withColumn("body", F.coalesce("body", F.lit(""))).withColumns(columns)
     return public.withColumn("_part", part("body")).select(*[c for c in public.columns if c != "body"], "_part.*")
 
 
-def lookup(notes: DataFrame, reference: str) -> DataFrame:
-    """The note that a reference means: its id, else its path with or without ``.md``.
+def lookup(notes: DataFrame, reference: str, roots: Sequence[str] = ()) -> DataFrame:
+    """The note that a reference means: its id, else its path, with or without ``.md``.
 
-    Raises if the id names several notes, or an id and another note's path are the same.
+    Where notes have roots, named in their order by ``roots``, ``name:path`` means that root, and a path without a root the
+    first root that has it. Raises if the id names several notes, or an id and another note's path are the same.
     """
-    same = notes.where((F.col("id") == reference) | (F.col("path") == reference) | (F.col("path") == f"{reference}.md"))
-    hits = same.select("id", "path").distinct().limit(50).collect()
-    by_id = {h.path for h in hits if h.id == reference}
-    exact = {h.path for h in hits if h.path == reference} or {h.path for h in hits if h.path == f"{reference}.md"}
-    if by_id and len(by_id | exact) > 1:
-        raise LookupError(f"{reference} is ambiguous: {', '.join(sorted(by_id | exact)[:3])}")
-    paths = by_id or exact
-    if not paths:
+    name, sign, rest = reference.partition(":")
+    routed = bool(sign) and name in roots
+    local = unicodedata.normalize("NFC", rest if routed else reference)
+    local = local if local.lower().endswith(".md") else f"{local}.md"
+    owner = F.col("root") == name if routed else F.lit(True)
+    if not roots:
+        owner = F.lit(True)
+    place = F.col("local_path") if roots else F.col("path")
+    by_path, by_id = (place == local) & owner, F.col("id") == reference
+    hits = notes.where(by_id | by_path).select("path", "root", by_id.alias("by_id"), by_path.alias("by_path"))
+    turn = F.array_position(F.array(*[F.lit(r) for r in roots]), F.col("root")) if roots else F.lit(0)
+    # three ids are enough to tell one from several, and the first root's path to tell which it is
+    named = hits.where("by_id").select("path").distinct().orderBy("path").limit(3)
+    placed = hits.where("by_path").select("path", turn.alias("turn")).distinct().orderBy("turn", "path").limit(1)
+    ids, paths = ([r.path for r in f.collect()] for f in (named, placed))
+    if ids and len({*ids, *paths}) > 1:
+        raise LookupError(f"{reference} is ambiguous: {', '.join(sorted({*ids, *paths})[:3])}")
+    found = ids or paths
+    if not found:
         raise LookupError(f"no note {reference}")
-    return notes.where(F.col("path") == paths.pop()).dropDuplicates(["path"])
+    return notes.where(F.col("path") == found[0]).dropDuplicates(["path"])

@@ -5,16 +5,21 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.markdown import outline
-from ..functions.text import compact_udf, estimate_tokens, truncate_to_tokens
-from .context import check_budget
+from ..functions.text import CHARS_PER_TOKEN, compact_udf
+from ..operators.tables import snapshot
+from .context import Purse, check_budget
 
 # Names and limits of the sections.
 SESSION_CLIENT, SESSION_TAG, STATE_TAG = "claude-code", "claude-code-session", "project-state"
 RECENT, SESSIONS, OPS, SNIPPET = 10, 5, 10, 240
 
+#: Characters of a token at most.
+CHARS_MOST = max(CHARS_PER_TOKEN.values())
+
 OUTLINE = ArrayType(StructType([StructField("heading", StringType()), StructField("level", LongType()), StructField("heading_path", ArrayType(StringType())), StructField("start_line", LongType()), StructField("chars", LongType()), StructField("est_tokens", LongType())]))
 
 
@@ -65,23 +70,26 @@ STATE = "id string, path string, root string, title string, updated_at timestamp
 def state_docs(mine: DataFrame, token_budget: int | None = None, tag: str = STATE_TAG) -> DataFrame:
     """Notes with the state tag, latest first, until the budget is used up.
 
-    A note takes a token at least, so no more notes than the budget has tokens can be packed; the latest so many
-    are passed to the step that packs them.
+    A note of n characters takes n / CHARS_MOST tokens at least, so notes behind a running sum of the budget's tokens
+    are not read; the rest, about as much text as the budget holds and one note more, are packed in one group.
     """
     budget = check_budget(token_budget)
-    first = mine.where(F.array_contains("tags", tag)).orderBy(*_latest_first()).limit(budget)
-    rows = first.select("id", "path", "root", "title", F.col("effective_ts").alias("updated_at"), "body", F.collate(F.col("path"), "UNICODE").cast("string").alias("_path"))
+    order = _latest_first()
+    first = mine.where(F.array_contains("tags", tag)).select("path", "effective_ts", F.greatest(F.char_length(F.coalesce("body", F.lit(""))) / CHARS_MOST, F.lit(1.0)).alias("_least"))
+    first = first.orderBy(*order).limit(budget)  # a note takes a token at least
+    before = F.sum("_least").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    near = snapshot(first.withColumns({"_before": before, "place": place}).where(F.coalesce("_before", F.lit(0.0)) <= budget).select("path", "place"))
+    rows = mine.join(F.broadcast(near), "path").select("id", "path", "root", "title", F.col("effective_ts").alias("updated_at"), "body", "place")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, spent = [], 0
-        for row in rows.sort_values(["updated_at", "_path"], ascending=[False, True], kind="stable").itertuples():
-            if budget - spent <= 0:
+        purse, out = Purse(budget), []
+        for row in rows.sort_values("place", kind="stable").itertuples():
+            deal = purse.buy(row.path, row.body or "")
+            if deal is None:
                 break
-            body = row.body or ""
-            text = truncate_to_tokens(body, budget - spent)
-            used = estimate_tokens(text)
-            spent += used
-            out.append((row.id, row.path, row.root, row.title, row.updated_at, used, len(text) < len(body), text))
+            text, used = deal
+            out.append((row.id, row.path, row.root, row.title, row.updated_at, used, len(text) < len(row.body or ""), text))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in STATE.split(", ")])
 
     return rows.groupBy().applyInPandas(run, STATE)

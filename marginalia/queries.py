@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.markdown import select_sections, split_sections
 from .functions.text import character_counts_udf, compact_expr, content_fingerprint_udf, tokens_expr
 from .operators import graph, search
 from .operators.tables import snapshot
 from .plans import context, project
-from .sources.views import NOTES_SQL, NOW, SESSIONS_SQL, notes, sessions
+from .sources.views import LINKED_SQL, NOTES_SQL, NOW, SESSIONS_SQL, linked_notes, notes, sessions
 from .streaming import limits
 
 QUERY, TERMS = "tion ing", ("tion", "ing")
@@ -30,6 +31,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir, linked=False)
+
+
 def _score_sql(terms: tuple[str, ...] = TERMS) -> str:
     count = lambda t: f"((length(folded_body) - length(replace(folded_body, '{t}', ''))) / {len(t)})"
     plus = lambda f: " + ".join(f(t) for t in terms)
@@ -47,98 +52,103 @@ found AS (SELECT *, CAST(score_title + score_path + score_tags + score_body + sc
 _RECENCY = f"score_text * 0.5 * pow(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(effective_ts)) / 86400e6) / 30.0)"
 
 
-@query(f"WITH {NOTES_SQL} SELECT coalesce(client, 'unknown') AS client, coalesce(project, 'uncategorized') AS project, count(*) AS document_count, max(effective_ts) AS latest FROM notes GROUP BY 1, 2")
+@query(f"WITH {NOTES_SQL} SELECT coalesce(client, 'unknown') AS client, coalesce(project, 'uncategorized') AS project, count(*) AS document_count, max(modified_at) AS latest FROM notes GROUP BY 1, 2")
 def list_projects(spark, sf_dir):
-    return search.list_projects(notes(spark, sf_dir))
+    return search.list_projects(_notes(spark, sf_dir))
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path FROM notes WHERE client = 'en' AND project = 'src3'")
 def filter_client_project(spark, sf_dir):
-    return search.in_scope(notes(spark, sf_dir), client="en", project="src3").select("id", "path")
+    return search.in_scope(_notes(spark, sf_dir), client="en", project="src3").select("id", "path")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path FROM notes WHERE starts_with(path, 'projects/de/')")
 def filter_prefix(spark, sf_dir):
-    return search.in_scope(notes(spark, sf_dir), path_prefix="./projects/de/").select("id", "path")
+    return search.in_scope(_notes(spark, sf_dir), path_prefix="./projects/de/").select("id", "path")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path FROM notes WHERE list_contains(tags, 'quality-1') AND list_contains(tags, 'toxic-0')")
 def filter_tags_all(spark, sf_dir):
-    return search.in_scope(notes(spark, sf_dir), tags=["Quality-1", "toxic-0"]).select("id", "path")
+    return search.in_scope(_notes(spark, sf_dir), tags=["Quality-1", "toxic-0"]).select("id", "path")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path, effective_ts FROM notes WHERE effective_ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'")
 def filter_date_range(spark, sf_dir):
-    return search.in_scope(notes(spark, sf_dir), updated_after="2024-01-05", updated_before="2024-01-20T12:00:00Z").select("id", "path", "effective_ts")
+    return search.in_scope(_notes(spark, sf_dir), updated_after="2024-01-05", updated_before="2024-01-20T12:00:00Z").select("id", "path", "effective_ts")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, path, score_text AS score FROM found WHERE score_text > 0 ORDER BY score DESC, path LIMIT 10")
 def search_relevance(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), QUERY).select("id", "path", "score")
+    return search.search(_notes(spark, sf_dir), QUERY).select("id", "path", "score")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, CAST(score_title AS DOUBLE) AS score_title, CAST(score_path AS DOUBLE) AS score_path, CAST(score_tags AS DOUBLE) AS score_tags, CAST(score_body AS DOUBLE) AS score_body, CAST(score_phrase AS DOUBLE) AS score_phrase, CAST(0 AS DOUBLE) AS score_recency, score_text AS score FROM found WHERE score_text > 0 ORDER BY score DESC, path LIMIT 50")
 def search_explain(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), QUERY, limit=50, explain=True).select("id", *[f"score_{k}" for k in ("title", "path", "tags", "body", "phrase", "recency")], "score")
+    return search.search(_notes(spark, sf_dir), QUERY, limit=50, explain=True).select("id", *[f"score_{k}" for k in ("title", "path", "tags", "body", "phrase", "recency")], "score")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, path, round(score_text + {_RECENCY}, 6) AS score FROM found WHERE score_text > 0 ORDER BY score_text + {_RECENCY} DESC, path LIMIT 20")
 def search_recency(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), QUERY, limit=20, recency_weight=0.5, half_life=30.0, now=NOW).select("id", "path", F.round("score", 6).alias("score"))
+    return search.search(_notes(spark, sf_dir), QUERY, limit=20, recency_weight=0.5, now=NOW).select("id", "path", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT CAST(row_number() OVER (ORDER BY score_text DESC, path) AS INTEGER) AS rank, id, modified_at, updated_at, size_bytes FROM found WHERE score_text > 0 AND client = 'de' ORDER BY rank LIMIT 15 OFFSET 5")
+def search_result(spark, sf_dir):
+    return search.search(_notes(spark, sf_dir), QUERY, limit=15, offset=5, client="de").select("rank", "id", "modified_at", "updated_at", "size_bytes")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, path FROM found WHERE score_text > 0 ORDER BY effective_ts DESC, path LIMIT 10 OFFSET 10")
 def search_recent_order(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), QUERY, order="recent", limit=10, offset=10).select("id", "path")
+    return search.search(_notes(spark, sf_dir), QUERY, order="recent", limit=10, offset=10).select("id", "path")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path FROM notes ORDER BY path LIMIT 50")
 def search_path_order(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), "", limit=500).select("id", "path")
+    return search.search(_notes(spark, sf_dir), "", limit=500).select("id", "path")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT count(*) AS total_count FROM found WHERE score_text > 0 AND client = 'fr'")
 def search_total_count(spark, sf_dir):
-    return search.total_count(notes(spark, sf_dir), QUERY, client="fr")
+    return search.total_count(_notes(spark, sf_dir), QUERY, client="fr")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, path, score_text AS score FROM found WHERE score_text > 0")
 def search_all_scores(spark, sf_dir):
-    found, _, _ = search.ranked(notes(spark, sf_dir), QUERY)
+    found, _, _ = search.ranked(_notes(spark, sf_dir), QUERY)
     return found.select("id", "path", "score")
 
 
 @query(f"WITH {NOTES_SQL}, flat AS (SELECT id, path, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS c FROM notes) SELECT id, CASE WHEN length(c) > 220 THEN substr(c, 1, 220) || '...' ELSE c END AS snippet FROM flat ORDER BY path LIMIT 50")
 def snippet_heads(spark, sf_dir):
-    return search.search(notes(spark, sf_dir), "", limit=50, compact=compact_expr(F.col("body"))).select("id", "snippet")
+    return search.search(_notes(spark, sf_dir), "", limit=50, compact=compact_expr(F.col("body"))).select("id", "snippet")
 
 
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, title, 'https://notes.example/v/' || path AS url FROM found WHERE score_text > 0 ORDER BY score_text DESC, path LIMIT 10")
 def compat_search(spark, sf_dir):
-    return search.compat_search(notes(spark, sf_dir), QUERY, "https://notes.example/v/")
+    return search.compat_search(_notes(spark, sf_dir), QUERY, "https://notes.example/v/")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, title, strlen(body) AS text_bytes, 'https://notes.example/v/' || path AS url, client AS meta_client, array_to_string(tags, ', ') AS meta_tags FROM notes")
 def compat_fetch(spark, sf_dir):
-    found = search.compat_fetch(notes(spark, sf_dir), "https://notes.example/v")
+    found = search.compat_fetch(_notes(spark, sf_dir), "https://notes.example/v")
     return found.select("id", "title", F.octet_length("text").cast("long").alias("text_bytes"), "url", F.col("metadata")["client"].alias("meta_client"), F.col("metadata")["tags"].alias("meta_tags"))
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, substr(body, 1, 100) AS body, length(body) > 100 AS truncated, length(body) AS total_chars FROM notes")
 def fetch_truncated(spark, sf_dir):
-    return search.fetch(notes(spark, sf_dir), max_chars=100).select("id", "body", "truncated", "total_chars")
+    return search.fetch(_notes(spark, sf_dir), max_chars=100, plain=True).select("id", "body", "truncated", "total_chars")
 
 
 @query(f"""WITH {NOTES_SQL}, counted AS (SELECT id, length(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')) + 1 AS ascii, length(body) AS n FROM notes)
 SELECT id, ascii, n + 1 - ascii AS other, CAST(ceil((ascii / 4.0 + (n + 1 - ascii) / 2.0) * CAST(1.15 AS DOUBLE)) AS BIGINT) AS est_tokens FROM counted""")
 def token_estimate(spark, sf_dir):
-    counted = notes(spark, sf_dir).select("id", character_counts_udf("body").alias("c"))
+    counted = _notes(spark, sf_dir).select("id", character_counts_udf("body").alias("c"))
     return counted.select("id", F.col("c.ascii").alias("ascii"), F.col("c.other").alias("other"), tokens_expr(F.col("c")).alias("est_tokens"))
 
 
 @query(f"WITH {NOTES_SQL}, prints AS (SELECT path, sha256(trim(regexp_replace(body, '\\s+', ' ', 'g'))) AS content FROM notes) SELECT content, count(*) AS copies, min(path) AS first_path FROM prints GROUP BY content")
 def content_dedup(spark, sf_dir):
-    prints = notes(spark, sf_dir).select("path", content_fingerprint_udf("body").alias("content"))
+    prints = _notes(spark, sf_dir).select("path", content_fingerprint_udf("body").alias("content"))
     return prints.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))
 
 
@@ -197,17 +207,17 @@ def neighbors_d2(spark, sf_dir):
 
 @query(f"WITH {NOTES_SQL} SELECT count(*) AS doc_count, max(effective_ts) AS latest FROM notes WHERE project = 'src1'")
 def project_summary(spark, sf_dir):
-    return project.summary(project.of_project(notes(spark, sf_dir), "src1")).select("doc_count", "latest")
+    return project.summary(project.of_project(_notes(spark, sf_dir), "src1")).select("doc_count", "latest")
 
 
 @query(f"WITH {NOTES_SQL} SELECT id, path, title, effective_ts AS updated_at, size_bytes, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 240) AS snippet FROM notes WHERE project = 'src1' ORDER BY effective_ts DESC, path LIMIT 10")
 def recent_docs(spark, sf_dir):
-    return project.recent_docs(project.of_project(notes(spark, sf_dir), "src1")).drop("root")
+    return project.recent_docs(project.of_project(_notes(spark, sf_dir), "src1")).drop("root")
 
 
 @query(f"WITH {NOTES_SQL} SELECT path, effective_ts AS date FROM notes WHERE target_repo = 'src7' ORDER BY effective_ts DESC, path LIMIT 10")
 def ops_recent(spark, sf_dir):
-    return project.ops_recent(notes(spark, sf_dir), "src7").drop("root")
+    return project.ops_recent(_notes(spark, sf_dir), "src7").drop("root")
 
 
 def _as_sessions(spark, sf_dir):
@@ -273,6 +283,58 @@ def context_candidates(spark, sf_dir):
     return found.select("path", F.round("score", 9).alias("score"), "relationship")
 
 
+@query(f"""WITH {NOTES_SQL}, {_LINKS_SQL}, {_CANDIDATES_SQL} SELECT 'query' AS mode, (SELECT count(*) FROM seeds) AS seed_count, count(DISTINCT path) - (SELECT count(*) FROM seeds) AS expanded_count, count(DISTINCT path) AS total_candidates FROM every""")
+def context_summary(spark, sf_dir):
+    package = context.context(notes(spark, sf_dir), QUERY, token_budget=2000, depth=1, project="src2")
+    return package.where("kind = 'summary'").select("mode", "seed_count", "expanded_count", "total_candidates")
+
+
+@query(f"WITH {LINKED_SQL} SELECT src, raw, target FROM links")
+def links_of_all_kinds(spark, sf_dir):
+    return graph.resolved_links(linked_notes(spark, sf_dir)).select("src", "raw", "target")
+
+
+@query(f"WITH {LINKED_SQL} SELECT src, raw, note, ['basename', 'title', 'alias'][min(rank) + 1] AS via FROM hints GROUP BY src, raw, note")
+def link_candidates(spark, sf_dir):
+    found = graph.resolved_links(linked_notes(spark, sf_dir)).select("src", "raw", F.explode("candidates").alias("c"))
+    return found.select("src", "raw", F.col("c.path").alias("note"), "c.via")
+
+
+@query(f"""WITH {LINKED_SQL}, first AS (SELECT path FROM nodes WHERE d = 0)
+SELECT 'link' AS part, CAST(row_number() OVER (ORDER BY raw) AS INTEGER) AS place, raw AS value FROM links WHERE src = (SELECT path FROM first)
+UNION ALL SELECT 'ref', 1, t_place || '.md' FROM nodes WHERE d = 0
+UNION ALL SELECT 'backlink', CAST(row_number() OVER (ORDER BY src) AS INTEGER), src FROM edges WHERE dst = (SELECT path FROM first)""")
+def trace_parts(spark, sf_dir):
+    found = graph.trace(linked_notes(spark, sf_dir), "main:f0/doc-00000000.md")
+    parts = (("link", found["outgoing_links"].select("raw")), ("ref", found["source_refs"]), ("backlink", found["backlinks"].select("path")))
+    one = Window.partitionBy("part").orderBy("_k")  # the links of one note
+    rows = [f.toDF("value").withColumn("_k", F.monotonically_increasing_id()).withColumn("part", F.lit(p)) for p, f in parts]
+    return rows[0].union(rows[1]).union(rows[2]).select("part", F.row_number().over(one).alias("place"), "value")
+
+
+@query(f"""WITH {LINKED_SQL},
+found AS (SELECT path, row_number() OVER (ORDER BY effective_ts DESC, path) AS k FROM nodes WHERE project = 'src2' AND root = 'main' ORDER BY k LIMIT 40),
+seeds AS (SELECT path, 1.0 - (k - 1) / CAST(count(*) OVER () AS DOUBLE) AS base FROM found),
+out_shown AS (SELECT e.src, e.dst, row_number() OVER (PARTITION BY e.src ORDER BY n.effective_ts DESC, e.dst) AS rk FROM edges e JOIN nodes n ON n.path = e.dst QUALIFY rk <= 20),
+in_shown AS (SELECT e.dst AS src, e.src AS dst, row_number() OVER (PARTITION BY e.dst ORDER BY n.effective_ts DESC, e.src) AS rk FROM edges e JOIN nodes n ON n.path = e.src QUALIFY rk <= 20),
+every AS (SELECT path, base AS score, 1 AS rank FROM seeds
+  UNION ALL SELECT s.dst, base * 0.6, 2 FROM seeds JOIN out_shown s ON s.src = seeds.path UNION ALL SELECT s.dst, base * 0.6, 3 FROM seeds JOIN in_shown s ON s.src = seeds.path
+  UNION ALL SELECT n.t_place || '.md', base * 0.4, 4 FROM seeds JOIN nodes n USING (path) WHERE n.d % 7 = 0
+  UNION ALL SELECT path, 0.15, 5 FROM (SELECT path FROM nodes WHERE project = 'src2' ORDER BY effective_ts DESC, path LIMIT 10))
+SELECT path, round(max(score), 9) AS score, ['seed', 'recent', 'linked:out', 'linked:in', 'source_ref', 'same_project'][min(rank) + 1] AS relationship FROM every GROUP BY path""")
+def context_recent(spark, sf_dir):
+    found = context.candidates(linked_notes(spark, sf_dir), "", depth=1, project="src2", root="main")
+    return found.select("path", F.round("score", 9).alias("score"), "relationship")
+
+
+@query(f"""WITH {LINKED_SQL}, asked(reference, root, stem) AS (VALUES ('side:f1/doc-00000001', 'side', 'f1/doc-00000001'), ('f2/doc-00000002.md', 'main', 'f2/doc-00000002'), ('f3/doc-00000003', 'side', 'f3/doc-00000003'))
+SELECT reference, path, title FROM asked JOIN nodes USING (root, stem) UNION ALL SELECT 'n-4', path, title FROM nodes WHERE d = 4""")
+def fetch_routed(spark, sf_dir):
+    all_notes = snapshot(linked_notes(spark, sf_dir).select("id", "path", "local_path", "root", "title"))
+    rows = [search.lookup(all_notes, r, ("main", "side")).select(F.lit(r).alias("reference"), "path", "title") for r in ("side:f1/doc-00000001", "f2/doc-00000002.md", "f3/doc-00000003", "n-4")]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 @query()
 def context_pack(spark, sf_dir):
     return context.context(notes(spark, sf_dir), QUERY, token_budget=8000, depth=2, project="src2").drop("heading_path")
@@ -280,22 +342,38 @@ def context_pack(spark, sf_dir):
 
 @query()
 def state_docs(spark, sf_dir):
-    return project.state_docs(project.of_project(notes(spark, sf_dir), "src4"), 4000, tag="quality-1")
+    return project.state_docs(project.of_project(_notes(spark, sf_dir), "src4"), 4000, tag="quality-1")
 
 
 @query(f"WITH {NOTES_SQL} SELECT path, CASE WHEN starts_with(path, 'projects/en/') THEN 'english' WHEN list_contains(tags, 'toxic-1') THEN 'flagged' END AS type, CAST(CASE WHEN starts_with(path, 'projects/en/') THEN 1.2 WHEN list_contains(tags, 'toxic-1') THEN 0.3 ELSE 1.0 END AS DOUBLE) AS weight FROM notes")
 def type_weights(spark, sf_dir):
     rules = [context.TypeRule("english", 1.2, path_prefix="projects/en/"), context.TypeRule("flagged", 0.3, tag="toxic-1")]
-    return context.weigh(notes(spark, sf_dir), rules).select("path", "type", "weight")
+    return context.weigh(_notes(spark, sf_dir), rules).select("path", "type", "weight")
+
 
+@query(f"WITH {NOTES_SQL} SELECT path, CASE WHEN starts_with(path, 'projects/fr/') THEN 'french' ELSE fm_type END AS type, CAST(CASE WHEN starts_with(path, 'projects/fr/') THEN 1.5 WHEN fm_type IS NOT NULL THEN 1.1 ELSE 1.0 END AS DOUBLE) AS weight, starts_with(path, 'projects/fr/') AS filterable FROM notes")
+def type_hints(spark, sf_dir):
+    rules, hint = context.parse_type_rules({"rules": [{"name": "french", "weight": 1.5, "match": {"path_prefix": "projects/fr/"}}], "frontmatter_type_hint": {"enabled": True, "max_weight": 1.1}})
+    return context.weigh(_notes(spark, sf_dir), rules, hint).select("path", "type", "weight", "filterable")
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+
+_WINDOWS_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 w AS (SELECT event_id, user_id, ts, k, ts AS window_start, CAST(1 AS BIGINT) AS hit FROM e WHERE k = 1
   UNION ALL SELECT e.event_id, e.user_id, e.ts, e.k, CASE WHEN w.window_start + INTERVAL 12 HOUR <= e.ts THEN e.ts ELSE w.window_start END, CASE WHEN w.window_start + INTERVAL 12 HOUR <= e.ts THEN 1 ELSE w.hit + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
-SELECT event_id, user_id, window_start, hit, hit <= 2 AS allowed FROM w""")
+"""
+
+
+@query(f"{_WINDOWS_SQL} SELECT event_id, user_id, window_start, hit, hit <= 2 AS allowed FROM w")
 def rate_limit_windows(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return limits.rate_windows(events.select("event_id", "user_id", "ts"), "user_id", "ts", 12 * 3600, 2).drop("ts")
+    return limits.rate_windows(events.select("event_id", "user_id", "ts"), "user_id", "ts", 12 * 3600, 2, ties=("event_id",)).drop("ts")
+
+
+@query(f"{_WINDOWS_SQL}, opened AS (SELECT user_id, window_start, max(hit) AS hits FROM w WHERE window_start + INTERVAL 12 HOUR > TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1, 2) SELECT * FROM opened QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY window_start DESC) = 1 ORDER BY window_start DESC, user_id LIMIT 50")
+def live_buckets(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    counted = limits.rate_windows(events, "user_id", "ts", 12 * 3600, 2, ties=("event_id",))
+    return limits.live_buckets(counted, "user_id", 12 * 3600, "2024-01-15 00:00:00", 50)
 
 
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'")

@@ -30,11 +30,11 @@ def count_windows(keys: np.ndarray, at: np.ndarray, length: int, key=None, start
     return starts, numbers, (key, start, hits)
 
 
-def rate_windows(events: DataFrame, key: str, time: str, seconds: float, limit: int) -> DataFrame:
-    """Adds window_start, hit and allowed to rows with a key and a time; ties in time are counted in any order."""
+def rate_windows(events: DataFrame, key: str, time: str, seconds: float, limit: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds window_start, hit and allowed to rows with a key and a time; rows of one time are counted in the order of ``ties``."""
     length = int(seconds * 1e6)
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_at", _micros(F.col(time)))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_at")
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_at", *ties)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = (None, 0, 0)
@@ -91,6 +91,16 @@ def orphans(clients: DataFrame, tokens: DataFrame, key: str, created: str, grace
     return clients.join(tokens.select(key).distinct(), key, "left_anti").where(_micros(F.col(created)) + int(grace * 1e6) <= _micros(F.lit(now)))
 
 
+def live_buckets(counted: DataFrame, key: str, seconds: float, now: str, most: int) -> DataFrame:
+    """(key, window_start, hits) of a limiter's open windows at a time, from ``rate_windows``: beyond ``most`` keys the latest opened stay.
+
+    A key that is left out starts a new window with its next hit.
+    """
+    opened = counted.where(_micros(F.col("window_start")) + int(seconds * 1e6) > _micros(F.lit(now)))
+    last = opened.groupBy(key).agg(F.max(F.struct("window_start", "hit")).alias("w")).select(key, F.col("w.window_start").alias("window_start"), F.col("w.hit").alias("hits"))
+    return last.orderBy(F.desc("window_start"), key).limit(most)
+
+
 def newest(rows: DataFrame, created: str, most: int, key: str) -> DataFrame:
     """The newest ``most`` rows: a cap that drops the oldest."""
     return rows.orderBy(F.desc(created), key).limit(most)
