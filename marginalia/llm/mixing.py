@@ -12,7 +12,8 @@ excess is shared out again by weight.
 
 Nulls and odd rows: a null text has size 0, a null source is a source of its own that comes last;
 documents without words take none; a null doc_id is ordered first. Repeated rows are rows of their
-own. Other columns pass through ``mix`` unchanged, so inputs must not name columns ``_mix_*``.
+own; where more than HEAVY rows share source, id and size, their chunk is parted by the rows' places, so that no task gathers them.
+Other columns pass through ``mix`` unchanged, so inputs must not name columns ``_mix_*``.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source that are rounded together, about.
-CHUNK = 1024
+#: Documents of a source that are rounded together, about, and rows of one id and size beyond which they are parted.
+CHUNK, HEAVY = 1024, 16_384
 #: Newton steps between two tables, and tables at most.
 STEPS, ROUNDS = 5, 12
 
@@ -77,9 +78,10 @@ def solve_duals(targets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     raise RuntimeError(f"the duals did not settle: {miss}")
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows of (doc_id, source, _mix_size, ...)."""
-    solved = solve_duals(source_targets(rows.select("source", "_mix_size"), weights, cap))
+def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds source_size, target, rate and copies to rows of (doc_id, source, _mix_size, ...). sizes: these columns as a table."""
+    sizes = rows if sizes is None else sizes
+    solved = solve_duals(source_targets(sizes.select("source", "_mix_size"), weights, cap))
     solved = materialize(
         solved.select(
             F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
@@ -87,9 +89,17 @@ def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0)
             F.greatest(F.ceil(F.col("source_rows") / CHUNK), F.lit(1)).alias("_mix_chunks"),
         )
     )
+    same = sizes.groupBy(F.col("source").alias("_mix_s"), F.col("doc_id").alias("_mix_d"), F.col("_mix_size").alias("_mix_n")).agg(F.count(F.lit(1)).alias("_mix_rows"))
+    heavy = materialize(same.where(F.col("_mix_rows") > HEAVY))  # a row for more than HEAVY rows
+    place = F.lit(0)
+    if not heavy.isEmpty():
+        on = F.col("source").eqNullSafe(F.col("_mix_s")) & F.col("doc_id").eqNullSafe(F.col("_mix_d")) & (F.col("_mix_size") == F.col("_mix_n"))
+        rows = rows.withColumn("_mix_at", F.monotonically_increasing_id()).join(F.broadcast(heavy), on, "left")
+        rows = rows.withColumn("_mix_place", F.when(F.col("_mix_rows").isNotNull(), F.pmod(F.col("_mix_at"), F.ceil(F.col("_mix_rows") / CHUNK))).otherwise(0)).drop("_mix_at", "_mix_s", "_mix_d", "_mix_n", "_mix_rows")
+        place = F.col("_mix_place")
     joined = rows.join(solved, F.col("source").eqNullSafe(F.col("_mix_source")))
-    chunk = F.pmod(F.xxhash64("doc_id", "_mix_size"), F.col("_mix_chunks"))
-    joined = joined.withColumn("_mix_chunk", chunk).drop("_mix_source", "_mix_chunks")
+    chunk = F.pmod(F.xxhash64("doc_id", "_mix_size", place), F.col("_mix_chunks"))
+    joined = joined.withColumn("_mix_chunk", chunk).drop("_mix_source", "_mix_chunks", "_mix_place")
     fields = [f for f in joined.schema.fields if f.name != "_mix_chunk"]
     schema = StructType([*fields, StructField("_mix_copies", LongType())])
 
@@ -115,5 +125,7 @@ def round_chunk(table: pa.Table, cap: float) -> np.ndarray:
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``."""
-    taken = mix(docs.withColumn("_mix_size", word_count(F.col("text"))), weights, cap).where("_mix_copies > 0")
+    sized = docs.withColumn("_mix_size", word_count(F.col("text")))
+    sizes = materialize(sized.select("doc_id", "source", "_mix_size"))
+    taken = mix(sized, weights, cap, sizes).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -30,8 +30,9 @@ from .components import connected_components
 
 #: Fingerprints a shard holds, about.
 SHARD = 3000
-#: The shards' tree is fitted on so many fingerprints, about. Trees above SAMPLE * SHARD / 16 fingerprints have larger shards.
-SAMPLE = 60_000
+#: The shards' tree is fitted on 16 fingerprints of a shard, and on so many at least and at most, about; with more than
+#: MOST_SAMPLE * SHARD / 16 fingerprints (750 million) shards grow with the input.
+SAMPLE, MOST_SAMPLE = 60_000, 4_000_000
 #: Members up to which a shard compares all pairs.
 BRUTE = 192
 SEED = 42
@@ -169,14 +170,14 @@ def shard_links(fps: np.ndarray, member: np.ndarray, radius: int) -> np.ndarray:
 def near_links(fps: DataFrame, radius: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fingerprints (column fp) at most ``radius`` bits apart."""
     n = fps.count()
-    every = max(1, -(-n // sample))
+    every = max(1, -(-n // min(MOST_SAMPLE, max(sample, 16 * n // shard))))
     picked = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toPandas()["fp"].to_numpy(np.int64)
-    tree = Tree(np.sort(picked).view(np.uint64), max(16, shard // every), radius)
+    tree = fps.sparkSession.sparkContext.broadcast(Tree(np.sort(picked).view(np.uint64), max(16, shard // every), radius))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             values = frame["fp"].to_numpy(np.int64)
-            i, leaf, member = tree.route(values.view(np.uint64))
+            i, leaf, member = tree.value.route(values.view(np.uint64))
             yield pd.DataFrame({"leaf": leaf, "fp": values[i], "member": member})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:

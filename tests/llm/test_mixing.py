@@ -61,3 +61,17 @@ def test_single_source_and_empty(spark):
     assert mixing.mix_documents(empty).count() == 0
     blank = mixing.mix_documents(spark.createDataFrame([(1, "", "a", "", "")], SCHEMA))
     assert blank.count() == 0
+
+
+def test_heavy_rows_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HEAVY", 500)
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(7, "a b c", "s1")] * 2000 + [(None, "x", None)] * 900 + [(i, "w " * (i % 9 + 1), "s2") for i in range(600)]
+    sizes = mixing.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_mix_size", mixing.word_count(mixing.F.col("text"))).drop("text"))
+    out = mixing.mix(sizes).collect()
+    assert len(out) == len(rows) and all(0 <= r["_mix_copies"] <= 3 for r in out)
+    taken, target = {}, {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r["_mix_copies"] * r["_mix_size"]
+        target[r.source] = r["_mix_target"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 60 for s in taken), (taken, target)
