@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from itertools import groupby
 from urllib.parse import unquote_to_bytes
 
 from .text import SPACE, Fences, estimate_tokens, utf16_length
@@ -157,22 +158,24 @@ def outline(body: str) -> list[dict]:
 
 
 def select_sections(body: str, wanted: list[str]) -> tuple[str, list[str]]:
-    """Text of the sections that the requests name, and the requests that matched."""
-    key = lambda s: unicodedata.normalize("NFC", s).lower()
-    keys = [key(w) for w in wanted]
+    """Text of the sections that the requests name, and the requests that matched.
+
+    A request names headings of its title and all below its path. Lines of any named section are kept; where lines
+    are left out between them, a blank line stands.
+    """
     lines = body.split("\n")
+    form = lambda s: unicodedata.normalize("NFC", s).lower()
+    asked = [(w, form(w)) for w in wanted]
+    kept, matched = [False] * len(lines), []
     found = headings(lines)
-    matched, spans = {}, []
     for h, end in zip(found, _extents(found, len(lines)), strict=True):
-        title, path = key(h.title), key("/".join(h.path))
-        hits = [w for w, k in zip(wanted, keys, strict=True) if k == title or (path + "/").startswith(k + "/")]
-        matched.update(dict.fromkeys(hits))
-        if hits:
-            if spans and h.line <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
-            else:
-                spans.append([h.line, end])
-    return "\n\n".join("\n".join(lines[a:b]) for a, b in spans), list(matched)
+        path = form("/".join(h.path)) + "/"
+        names = {form(h.title), *(path[:k] for k, c in enumerate(path) if c == "/")}
+        if hits := [w for w, name in asked if name in names]:
+            matched += [w for w in hits if w not in matched]
+            kept[h.line : end] = [True] * (end - h.line)
+    runs = groupby(zip(kept, lines, strict=True), key=lambda x: x[0])
+    return "\n\n".join("\n".join(line for _, line in run) for is_kept, run in runs if is_kept), matched
 
 
 def split_sections(body: str, limit: int = SPLIT_CHARS) -> list[tuple[list[str], str]]:

@@ -7,7 +7,7 @@ import pytest
 from marginalia.functions import markdown as m
 from marginalia.functions import text as t
 
-# Patterns that the linear scans must equal.
+# The patterns that the linear scans must equal.
 WIKI = re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]")
 LINK = re.compile(r"\[[^\]]+\]\(([^)]+)\)")
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from marginalia.functions import text as t
-from marginalia.operators import graph
+from marginalia.operators import graph, search
 from marginalia.plans import context, project
 from marginalia.streaming import limits
 
@@ -130,3 +130,65 @@ def test_rate_stream(spark, tmp_path):
     query.awaitTermination(90)
     found = sorted((r["key"], r["at"].minute * 60 + r["at"].second, r.hit, r.allowed) for r in spark.table("limited").collect())
     assert found == [("a", 0, 1, True), ("a", 10, 2, True), ("a", 20, 3, False), ("a", 70, 1, True), ("a", 75, 2, True), ("b", 0, 1, True)]
+
+
+def test_walks_only_narrow(spark):
+    edge = spark.createDataFrame([("a", "b")], "src string, dst string")
+    known = spark.createDataFrame([("a", START), ("b", START)], "path string, effective_ts timestamp")
+    for bad in ({"fan_out": 21}, {"most": 51}, {"hub": 31}, {"hub": -1}, {"most": 1.5}):
+        with pytest.raises(ValueError):
+            graph.neighbours(edge, known, known, 2, **bad)
+
+
+def test_summary_hints_and_times_of_a_package(spark):
+    rows = [{"path": "a.md", "body": "alpha beta", "links": ["b"]}, {"path": "b.md", "body": "gamma"}, {"path": "c.md", "body": "other"}]
+    df = notes(spark, rows).withColumn("fm_type", context.F.when(context.F.col("path") == "b.md", "plan")).withColumn("updated_at", context.F.lit("2024-02-03"))
+    out = context.context(df, "alpha", 1000, depth=1, hint_most=1.2).collect()
+    chunks = {r.path: r for r in out if r.kind == "chunk"}
+    assert chunks["b.md"].type == "plan" and chunks["a.md"].type is None and chunks["a.md"].updated_at == "2024-02-03"
+    assert (out[-1].mode, out[-1].seed_count, out[-1].expanded_count, out[-1].total_candidates) == ("query", 1, 1, 2)
+    plain = {r.path: r.score for r in context.candidates(df, "alpha", depth=1).collect()}
+    hinted = {r.path: r.score for r in context.candidates(df, "alpha", depth=1, hint_most=1.2).collect()}
+    assert hinted["b.md"] == pytest.approx(plain["b.md"] * 1.2) and hinted["a.md"] == plain["a.md"]
+    none = context.context(df, "nowhere", 1000).collect()
+    assert [(r.kind, r.tokens, r.total_candidates) for r in none] == [("summary", 0, 0)]
+
+
+def test_purse():
+    purse = context.Purse(100, 40)
+    text, price = purse.buy("a", "word " * 100, framing=10, least=5)
+    assert price <= 40 and text == ("word " * 100)[: len(text)] and purse.buy("a", "more", framing=10, least=5) is None
+    assert purse.buy("b", "short", framing=10, least=5)[0] == "short" and purse.left == 100 - sum(purse.paid.values())
+
+
+def test_lookup_by_root(spark):
+    rows = [("x", "main:a/n.md", "a/n.md", "main"), ("y", "side:a/n.md", "a/n.md", "side"), ("side:b.md", "main:c.md", "c.md", "main"), ("z", "side:b.md", "b.md", "side"), ("w", "side:d.md", "d.md", "side")]
+    df = spark.createDataFrame(rows, "id string, path string, local_path string, root string")
+    find = lambda r: search.lookup(df, r, ("main", "side")).first().path
+    assert find("a/n") == "main:a/n.md" and find("side:a/n.md") == "side:a/n.md" and find("d") == "side:d.md" and find("y") == "side:a/n.md"
+    for bad in ("side:b.md", "nothing", "main:d"):  # an id that squats on another note's path; and what is not there
+        with pytest.raises(LookupError):
+            find(bad)
+
+
+def test_candidates_of_a_frequent_name_are_bounded(spark):
+    rows = [{"path": f"f{i:03}/readme.md", "title": "Readme"} for i in range(120)] + [{"path": f"n{i}.md", "links": ["readme", "Readme"]} for i in range(5)]
+    found = graph.resolved_links(notes(spark, rows)).where("target is null").collect()
+    assert len(found) == 10
+    for r in found:
+        assert [c.path for c in r.candidates] == [f"f{i:03}/readme.md" for i in range(graph.NAMED_MOST)]
+
+
+def test_words_of_an_unspaced_token(spark):
+    some = [t.text for t in search.tokenize("東京都庁 plan", spark)]
+    assert some[0] == "東京都庁" and "plan" in some and all(x in "東京都庁" for x in some if x != "plan") and len(some) >= 3
+    assert [t.text for t in search.tokenize("東京都")] == ["東京都", "東京", "京都"]
+
+
+def test_order_of_projects_and_results(spark):
+    df = notes(spark, [{"path": f"{c}{p}{i}.md", "body": "alpha " * (i + 1), "client": c, "project": p} for c in "ba" for p in "yx" for i in range(3)]).withColumn("modified_at", context.F.col("effective_ts"))
+    assert [(r.client, r.project) for r in search.list_projects(df).collect()] == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+    page = search.search(df, "alpha", limit=4, offset=2).collect()
+    assert [r["rank"] for r in page] == [3, 4, 5, 6] and [r.score for r in page] == sorted((r.score for r in page), reverse=True)
+    old = search.search(df, "alpha", recency_weight=1.0, now="2024-01-31 00:00:00").collect()
+    assert search.HALF_LIFE_DAYS == 30.0 and all(1 < r.score / (min(8, r.path[2:3] and int(r.path[2]) + 1)) < 2 for r in old)
