@@ -32,7 +32,7 @@ CAPACITY = 2048
 #: Fillings tried beside a document, steps of enumeration for them, and nodes of the whole search.
 BRANCHES, STEPS, NODES = 3, 400, 6_000
 #: Cached words of a tokenizer, and texts that are encoded together.
-CACHE, SLICE = 1_000_000, 2500
+CACHE, SLICE = 400_000, 2500
 #: Plain Latin letters, which stay single letters in the tokenizer's normal form, then ASCII punctuation without an
 #: apostrophe: two words for the tokenizer. U+0130 is not among them, as its small form is a letter and a mark.
 TAILED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
