@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neighbours, packing, pii, quotes, sharding, simhash, spotsigs, toxicity
+from . import langid, mixing, neighbours, packing, pii, quotes, repeats, sharding, simhash, spotsigs, toxicity, variants, whitening
 from .common import materialize, read_table
 
 
@@ -83,6 +83,20 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), capacity=2048, end=0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_components(read_table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"), letters=5, occurrences=3, ratio=2)
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kernel_toxicity": op1_kernel_toxicity,
     "op2_pii_spans": op2_pii_spans,
@@ -94,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_sharding": op8_label_sharding,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bin_completion": op10_bin_completion,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 ORACLE_SQL: dict[str, str] = {}

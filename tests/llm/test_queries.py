@@ -11,7 +11,9 @@ import pytest
 
 from marginalia.llm import pii, queries
 from test_pii import plain_base
+from test_repeats import plain as plain_repeats
 from test_simhash import plain_components
+from test_variants import plain as plain_variants
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -60,6 +62,9 @@ COLUMNS = {
     "op8_label_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op9_simhash_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_bin_completion": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op11_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12_spelling_variants": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
+    "op13_repeated_passages": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
 }
 
 
@@ -172,3 +177,19 @@ def check_op10(rows, docs):
         assert r.offset == filled.get(r.sequence_id, 0)
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 2048
+
+
+def check_op11(rows, docs):
+    vectors = Counter([*range(0, 600, 2), None, 102])
+    assert Counter(r.vec_id for r in rows) == Counter({v: 5 * k for v, k in vectors.items()})
+    assert {r.n for r in rows} == {302} and all(r.identity_error <= 1e-4 for r in rows)
+    assert abs(sum({r.component: r.explained for r in rows}.values()) - 1) < 1e-9
+
+
+def check_op12(rows, docs):
+    assert sorted((tuple(r) for r in rows), key=lambda r: r[0]) == plain_variants([(d, t) for d, t, *_ in docs])
+
+
+def check_op13(rows, docs):
+    want = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in plain_repeats([(d, t) for d, t, *_ in docs], 35)]
+    assert sorted(tuple(r) for r in rows) == sorted(want)
