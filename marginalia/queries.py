@@ -14,7 +14,7 @@ from .operators import graph, search
 from .operators.tables import snapshot
 from .plans import context, project
 from .sources.views import LINKED_SQL, NOTES_SQL, NOW, SESSIONS_SQL, linked_notes, notes, sessions
-from .streaming import limits
+from .streaming import limits, tokens
 
 QUERY, TERMS = "tion ing", ("tion", "ing")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,3 +399,18 @@ def orphan_clients(spark, sf_dir):
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 100")
 def newest_capped(spark, sf_dir):
     return limits.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", 100, "event_id").select("event_id")
+
+
+@query()
+def token_log(spark, sf_dir):
+    """Users' events as a token protocol: sign-ups issue, views check, errors only consume, other events rotate."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type") == "signup", "issue").when(F.col("event_type") == "view", "check").otherwise("rotate")
+    successor = F.when(F.col("event_type") != "error", F.concat(F.lit("t"), F.col("event_id").cast("string")))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return tokens.token_log(events, "user_id", "ts", kind, F.concat(F.lit("t"), (k % 7).cast("string")), successor, 5 * 86400, 86400, 5, until="2024-01-31 00:00:00")
+
+
+@query()
+def capped_hits(spark, sf_dir):
+    return tokens.capped_hits(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", 12 * 3600, 2, most=60, shares=12)

@@ -1,7 +1,9 @@
 """Rate windows that start at a key's first hit, and expiry of what is too old.
 
 In batches, rows are sorted by key and time inside partitions and read in order, with one window of state; a
-key's rows are never held together. As a stream, the same rule runs with state for each key.
+key's rows are never held together. A key of very many rows is cut into blocks: each block becomes a function from the
+window that is open before it to the one open behind it, functions of neighbours are composed by a parallel prefix, and the
+blocks are then numbered side by side (``blocks.py``). As a stream, the same rule runs with state for each key.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import blocks
+
+#: Rows up to which a key is read by one task.
+KEY_ROWS = 1_000_000
+
 
 def _micros(column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
@@ -30,20 +37,37 @@ def count_windows(keys: np.ndarray, at: np.ndarray, length: int, key=None, start
     return starts, numbers, (key, start, hits)
 
 
-def rate_windows(events: DataFrame, key: str, time: str, seconds: float, limit: int, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds window_start, hit and allowed to rows with a key and a time; rows of one time are counted in the order of ``ties``."""
+def rate_windows(
+    events: DataFrame, key: str, time: str, seconds: float, limit: int, ties: tuple[str, ...] = (), key_rows: int = KEY_ROWS
+) -> DataFrame:
+    """Adds window_start, hit and allowed to rows with a key and a time; rows of one time are counted in the order of ``ties``.
+
+    Where a key has more than ``key_rows`` rows, its rows are counted in blocks by many tasks, to the same numbers.
+    """
     length = int(seconds * 1e6)
     rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("_at", _micros(F.col(time)))
-    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_at", *ties)
+    if (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) > key_rows:
+        rows = blocks.entered(rows, key, length, ["_at", *ties])
+    else:
+        plain = {"_block": F.lit(0), "_start_in": F.lit(None).cast("long"), "_hits_in": F.lit(None).cast("long")}
+        rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_at", *ties).withColumns(plain)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = (None, 0, 0)
+        block, state = None, (None, 0, 0)
         for frame in frames:
-            starts, hits, state = count_windows(frame[key].to_numpy(), frame["_at"].to_numpy(np.int64), length, *state)
-            yield frame.drop(columns="_at").assign(_start=starts, hit=hits)
-
+            starts, hits = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
+            keys, at, of = frame[key].to_numpy(), frame["_at"].to_numpy(np.int64), frame["_block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(frame)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b and of[a] != block:
+                    block, first = of[a], frame["_start_in"].iloc[a]
+                    state = (None, 0, 0) if pd.isna(first) else (keys[a], int(first), int(frame["_hits_in"].iloc[a]))
+                starts[a:b], hits[a:b], state = count_windows(keys[a:b], at[a:b], length, *state)
+            yield frame[names].assign(_start=starts, hit=hits)
+
+    names = list(events.columns)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    counted = rows.mapInPandas(run, f"{kept}, _start long, hit long")
+    counted = rows.select(*names, "_at", "_block", "_start_in", "_hits_in").mapInPandas(run, f"{kept}, _start long, hit long")
     return counted.select(*events.columns, F.timestamp_micros("_start").alias("window_start"), "hit", (F.col("hit") <= limit).alias("allowed"))
 
 
