@@ -1,4 +1,5 @@
 import os
+import shutil
 import time
 
 import pytest
@@ -129,3 +130,126 @@ def test_query_side(spark):
     for bad in (499, 32001, 1.5, True):
         with pytest.raises(ValueError):
             context.check_budget(bad)
+
+
+def test_transient_errors_are_tried_again():
+    calls = []
+
+    def flaky(errno_, fails):
+        def action():
+            calls.append(errno_)
+            if len(calls) <= fails:
+                raise OSError(errno_, "busy")
+            return "done"
+
+        return action
+
+    import errno
+
+    assert vault.retried(flaky(errno.EAGAIN, 3), pause=0) == "done" and len(calls) == 4
+    calls.clear()
+    with pytest.raises(OSError):
+        vault.retried(flaky(errno.EMFILE, 9), pause=0)
+    assert len(calls) == 4
+    calls.clear()
+    with pytest.raises(OSError):
+        vault.retried(flaky(errno.ENOENT, 1), pause=0)
+    assert len(calls) == 1
+
+
+def test_a_note_that_cannot_be_opened_is_left_out(tree, capsys):
+    assert vault.read_note(None, str(tree), "gone.md") is None and "left out gone.md" in capsys.readouterr().err
+
+
+def test_walk_in_rounds_over_uneven_folders(spark, tmp_path):
+    root, want = tmp_path / "wide", set()
+
+    def touch(path):
+        place = root / path
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text("x")
+        want.add(path)
+
+    for k in range(1500):
+        touch(f"flat/{k}.md")
+    for k in range(60):
+        touch(f"{'deep/' * k}n{k}.md")
+    for k in range(400):
+        touch(f"many/{k % 130}/{k}.md")
+    (root / "node_modules/pkg").mkdir(parents=True)
+    (root / "node_modules/pkg/inner.md").write_text("x")
+    os.symlink(root / "node_modules/pkg", root / "linked")
+    os.symlink(root / "node_modules/pkg", root / "many/0/linked")
+    os.symlink(root, root / "node_modules/pkg/loop")
+    os.symlink(root / "node_modules/pkg", root / "node_modules/pkg/itself")
+    os.symlink(root / "flat/1.md", root / "deep/alias.md")
+    os.symlink(root / "node_modules/pkg/inner.md", root / "deep/inner.md")
+    want.add("node_modules/pkg/inner.md")
+    (root / "flat/no.txt").write_text("x")
+    found = vault.walked(spark, {"a": str(root), "b": str(root / "flat")}, most=50).collect()
+    assert len(found) == len(set(found)) and {r["at"] for r in found if r.root == "a"} == want
+    assert {r["at"] for r in found if r.root == "b"} == {w.removeprefix("flat/") for w in want if w.startswith("flat/")}
+    assert {r["at"] for r in vault.walked(spark, {None: str(root)}, "many/1", most=20).collect()} == {w for w in want if w.startswith("many/1")}
+    rows = vault.read_vault(spark, str(root), notes_per_task=100)
+    assert {r.path for r in rows.select("path").collect()} == want and rows.rdd.getNumPartitions() == len(want) // 100 + 1
+    vault.register(spark)
+    one_pass = spark.read.format("vault").option("path", str(root)).load()
+    assert {r.path for r in one_pass.select("path").collect()} == want
+    assert {r.local_path for r in one_pass.where("startswith(local_path, 'many/12')").collect()} == {w for w in want if w.startswith("many/12")}
+
+
+def test_parts_of_a_tree_hold_each_folder_once(tree):
+    for most in (1, 2, 3, 100):
+        found = [f for p in vault.parts({None: str(tree)}, "", most) for f in p.folders]
+        notes = [e.at for _, top, at, below in found for e in (vault.walk(top, at) if below else vault.listed(top, at)) if not e.is_folder]
+        assert len(notes) == len(set(notes)) == 5
+
+
+def test_stream_reads_what_has_changed(spark, tmp_path):
+    root, state, out = tmp_path / "vault", str(tmp_path / "state"), str(tmp_path / "out")
+    for k in range(30):
+        note(root, f"f{k % 5}/deep/{k}.md", f"body {k}\n", title=f"t{k}")
+
+    def pull():
+        """Starts the stream anew; it goes on from its checkpoint."""
+        query = vault.read_vault_stream(spark, state, str(root)).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        every = spark.read.parquet(out)
+        last = every.agg({"version": "max"}).first()[0]
+        return {(r.path, r.change) for r in every.where(f"version = {last}").collect()}, {r.path: r.body for r in vault.latest(every).collect()}
+
+    changed, now = pull()
+    assert changed == {(f"f{k % 5}/deep/{k}.md", "upsert") for k in range(30)} and now["f0/deep/0.md"] == "body 0\n"
+    note(root, "f0/deep/0.md", "changed\n")
+    note(root, "new/31.md", "new\n")
+    os.unlink(root / "f1/deep/1.md")
+    changed, now = pull()
+    assert changed == {("f0/deep/0.md", "upsert"), ("new/31.md", "upsert"), ("f1/deep/1.md", "delete")}
+    shutil.rmtree(root / "f2")
+    os.rename(root / "f3", root / "f9")
+    changed, now = pull()
+    assert {p for p, c in changed if c == "delete"} == {f"f{k % 5}/deep/{k}.md" for k in range(30) if k % 5 in (2, 3)}
+    assert {p for p, c in changed if c == "upsert"} == {f"f9/deep/{k}.md" for k in range(30) if k % 5 == 3}
+    note(root, "f2/deep/2.md", "back\n")
+    changed, now = pull()
+    assert changed == {("f2/deep/2.md", "upsert")}
+    assert now == {os.path.relpath(os.path.join(d, n), root): open(os.path.join(d, n)).read().split("---\n")[-1] for d, _, names in os.walk(root) for n in names}
+    with pytest.raises(Exception, match="inside a root"):
+        vault.VaultStreamReader({"path": str(root), "state": str(root / "state")})
+
+
+def test_a_batch_that_is_run_again_reads_the_same(tmp_path):
+    root = tmp_path / "vault"
+    note(root, "a/1.md", "one")
+    note(root, "b.md", "two")
+    reader = vault.VaultStreamReader({"path": str(root), "state": str(tmp_path / "state")})
+
+    def run(start, end):
+        return sorted((r["path"], r["change"]) for p in reader.partitions({"version": start}, {"version": end}) for b in reader.read(p) for r in b.to_pylist())
+
+    first = run(0, 5)
+    assert first == run(0, 5) == [("a/1.md", "upsert"), ("b.md", "upsert")] and run(5, 6) == []
+    note(root, "a/1.md", "one more")
+    os.unlink(root / "b.md")
+    assert run(6, 7) == run(6, 7) == [("a/1.md", "upsert"), ("b.md", "delete")] and run(7, 8) == []
