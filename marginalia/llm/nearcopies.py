@@ -6,10 +6,11 @@ bound no longer parts anything, so the other links come from buckets: BANDS hash
 together, and a pair of likeness 0.8 meets in no bucket with a probability of (1 - 0.8 ** WIDTH) ** BANDS, below one in
 100,000. Every link is checked on the whole sets.
 
-In rounds, each class is compared with the classes it shares most buckets with, of one chosen per bucket, and
-links join into components, of which a bucket that holds one is done. After ROUNDS rounds, buckets of at most SMALL classes
-are compared in full, but for pairs within one component. Larger ones, groups of very many near copies, go on in
-rounds until BARREN of them find no link, MOST_ROUNDS at most; a pair there whose only link is between the two may be missed.
+First each class is compared with leaders, the classes of its buckets that come first by hash; links join into components, and
+buckets that lie in one component are done. Of the others, those of at most SMALL classes bring all their pairs of two
+components. Larger ones that share classes are taken together and cut into blocks of at most BLOCK classes; a task compares two
+blocks by a matrix product over the shingles that occur twice in them, and tells a spanning forest of the links. Blocks of one component
+are not compared with each other. So every pair that meets in a bucket is compared or is in one component already: nothing is capped.
 
 Nulls and odd rows: null, empty and blank texts are one class; a text under five words is one shingle; case
 and white space are ASCII's. Repeated rows are rows of their own.
@@ -36,11 +37,11 @@ SIZE = 5
 LEAST, OF = 4, 5
 BANDS, WIDTH = 64, 8
 RADIUS = 2
-#: Rounds before small buckets are compared in full, classes of a small one, and rounds without a link that end the rest.
-ROUNDS, SMALL, BARREN = 3, 64, 2
-#: Texts that are hashed together. Classes that a class is compared with in a round, and rounds at most.
+#: Leaders of a bucket, and those that a class is compared with first. Classes of a bucket whose pairs are listed one by one.
+LEADERS, TRIED, SMALL = 3, 3, 64
+#: Classes and shingles of a block, and shingles that a matrix product takes at once. Texts that are hashed together.
+BLOCK, HELD, COLUMNS = 2048, 4_000_000, 4096
 SLICE = 1000
-TRIED, MOST_ROUNDS = 3, 8
 SEED = 42
 _RNG = np.random.default_rng(5)
 _TIMES = _RNG.integers(0, 1 << 31, BANDS * WIDTH).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -122,48 +123,109 @@ def print_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return same.unionByName(linked.select("a", "b"))
 
 
-def class_roots(classes: DataFrame, prints: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def leader_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the leaders that it shares most buckets with, from members (class, n, key) of buckets."""
+    least = [F.min(F.struct(F.xxhash64("class", F.lit(k)), "class", "n")).alias(f"_{k}") for k in range(LEADERS)]
+    leaders = shared.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"_{k}.class").alias("class"), F.col(f"_{k}.n").alias("n")) for k in range(LEADERS)]))).alias("c"))
+    near = shared.join(leaders, "key").where(F.col("class") != F.col("c.class")).where(_fits("n", "c.n"))
+    counts = near.groupBy(F.col("class").alias("a"), F.col("c.class").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
+    best = Window.partitionBy("a").orderBy(F.desc("_m"), "b")
+    return counts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= TRIED).select("a", "b")
+
+
+def small_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of two components in buckets of few classes, from members (class, n, key, root)."""
+    a = members.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    b = members.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    return a.join(b, "key").where("a < b and root_a <> root_b").where(_fits("n_a", "n_b")).select("a", "b").distinct()
+
+
+def compared(own: pa.Table, other: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links whose components are those of all near copies in one block or between two, as classes (u, v); tables have class, n, root, shingles."""
+    tables = [own] if other is None else [own, other]
+    classes, n, roots = (np.concatenate([t[c].to_numpy() for t in tables]) for c in ("class", "n", "root"))
+    lists = [t["shingles"].combine_chunks() for t in tables]
+    rows = np.repeat(np.arange(len(classes)), np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]))
+    _, column, often = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    order = np.argsort(column[keep], kind="stable")
+    rows, column = rows[keep][order], np.cumsum(often > 1)[column[keep][order]] - 1
+    left = np.arange(own.num_rows)
+    right = left if other is None else np.arange(own.num_rows, len(classes))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(classes), COLUMNS), np.float32)
+        part[rows[a:b], column[a:b] - at] = 1
+        both += part[left] @ part[right].T
+    near = both * (OF + LEAST) >= (n[left][:, None] + n[right][None, :]) * np.float32(LEAST)
+    near &= roots[left][:, None] != roots[right][None, :]
+    i, j = np.nonzero(near)
+    parent = np.arange(len(classes))
+    simhash._unite(parent, left[i], right[j])
+    parent = simhash._find(parent, parent)
+    moved = parent != np.arange(len(classes))
+    return classes[moved], classes[parent[moved]]
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components in buckets of many classes, from members (class, n, key, root) and sets (class, shingles)."""
+    firsts = materialize(members.groupBy("key").agg(F.min("class").alias("first")))
+    edges = members.join(firsts, "key").select(F.col("class").alias("u"), F.col("first").alias("v"))
+    groups = connected_components(edges)
+    once = members.select("class", "n", "root").distinct().join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class", "left")
+    once = materialize(once.withColumn("group", F.coalesce("group", "class")))
+    # a component that fills blocks of its own has some; the classes of all others share blocks
+    sizes = once.groupBy("group", "root").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
+    blocks = lambda: F.greatest(F.ceil(F.sum("_m") / BLOCK), F.ceil(F.sum("_n") / HELD)).cast("int").alias("_blocks")
+    sizes = sizes.withColumn("pure", F.when((F.col("_m") >= BLOCK // 4) | (F.col("_n") >= HELD // 4), F.col("root")))
+    sizes = materialize(sizes)
+    counts = materialize(sizes.groupBy("group", "pure").agg(blocks()))
+    placed = once.join(sizes.select("group", "root", "pure"), ["group", "root"]).join(counts, (once["group"] == counts["group"]) & sizes["pure"].eqNullSafe(counts["pure"])).select(
+        once["group"], "class", "n", once["root"], sizes["pure"], F.pmod(F.xxhash64("class", F.lit(3)), F.col("_blocks")).cast("int").alias("k")
+    )
+    placed = materialize(placed.withColumn("block", F.xxhash64(F.col("group"), F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), F.col("k"))))
+    known = materialize(placed.select("group", "pure", "block").distinct())
+    other = known.select("group", F.col("pure").alias("pure_b"), F.col("block").alias("block_b"))
+    pairs = known.join(other, "group").where("block <= block_b and (pure is null or pure_b is null or pure <> pure_b)")
+    sides = pairs.select(F.explode(F.array(F.struct("block", F.lit(0).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side")))).alias("s"), F.xxhash64("block", "block_b").alias("pair"), (F.col("block") == F.col("block_b")).alias("own"))
+    sides = sides.where("not own or s.side = 0").select("s.block", "s.side", "pair")
+    filled = placed.select("class", "n", "root", "block").join(sets, "class")
+    rows = filled.join(sides, "block").select("pair", "side", "class", "n", "root", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        own, other = (table.filter(pa.array(side == k)).combine_chunks() for k in (0, 1))
+        u, v = compared(own, other if other.num_rows else None)
+        return pa.table({"a": u, "b": v})
+
+    return rows.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def class_roots(classes: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root) of each class that has a near copy, from classes (class, n, fp, keys) and prints (class, shingles)."""
     members = classes.select("class", "n", F.explode("keys").alias("key"))
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("key")
     shared = materialize(members.join(several, "key", "left_semi"))
     wanted = materialize(shared.select("class").distinct())
     sets = materialize(prints.select("class", "shingles").join(wanted, "class", "left_semi").dropDuplicates(["class"]))
-    links = materialize(alike(materialize(print_pairs(classes.select("class", "fp"))), sets))
-
-    def joined(every: DataFrame) -> DataFrame:
-        return materialize(connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    def compared(turn: int) -> DataFrame:
-        """Links of each class with some of the classes that are the choice of its buckets."""
-        chosen = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", "key", F.lit(turn)), "class", "n", "root")).alias("c"))
-        near = shared.join(chosen, "key").where(F.col("root") != F.col("c.root")).where(_fits("n", "c.n"))
-        counts = near.groupBy(F.col("class").alias("a"), F.col("c.class").alias("b")).agg(F.count(F.lit(1)).alias("_m"))
-        best = Window.partitionBy("a").orderBy(F.desc("_m"), "b")
-        tried = materialize(counts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= TRIED).select("a", "b"))
-        return materialize(alike(tried, sets))
-
-    roots = joined(links)
-    shared = _labelled(shared, roots)
-    barren = 0
-    for turn in range(MOST_ROUNDS):
-        if shared.isEmpty() or turn > rounds and barren >= BARREN:
-            break
-        if turn == rounds:  # compare small buckets in full
-            sizes = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("_m")))
-            small = shared.join(sizes.where(F.col("_m") <= SMALL).select("key"), "key", "left_semi")
-            a = small.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            b = small.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            found = materialize(alike(materialize(a.join(b, "key").where("a < b and root_a <> root_b").where(_fits("n_a", "n_b")).select("a", "b").distinct()), sets))
-            shared = materialize(shared.join(sizes.where(F.col("_m") > SMALL).select("key"), "key", "left_semi"))
-        else:
-            found = compared(turn)
-        barren = 0 if turn == rounds else barren + 1
-        if found.isEmpty():
+    pairs = materialize(print_pairs(classes.select("class", "fp")).unionByName(leader_pairs(shared)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = materialize(alike(pairs, sets))
+
+    def joined() -> DataFrame:
+        return materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    roots = joined()
+    for few in (False, True):
+        mixed = _labelled(shared, roots)
+        sizes = materialize(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")))
+        some = materialize(mixed.join(sizes.where(F.col("_m") <= SMALL if few else F.col("_m") > SMALL).select("key"), "key", "left_semi"))
+        if some.isEmpty():
             continue
-        barren, links = 0, links.unionByName(found)
-        roots = joined(links)
-        shared = _labelled(shared, roots)
+        found = materialize(alike(materialize(small_pairs(some)), sets) if few else block_links(some, sets))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = joined()
     return roots
 
 
