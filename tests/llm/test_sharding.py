@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from marginalia.llm import sharding
 
 SCHEMA = "doc_id long, text string, shard string, slot string"
@@ -91,9 +93,59 @@ def test_few_groups_are_cut(spark):
     assert cut_groups((r.text_crc32, r["shard"]) for r in out) <= greedy(sizes, 24, len(rows)) + 23
 
 
-def test_the_line_is_cut_between_groups(spark):
-    rows = [(g * 10 + i, g, 0, 1) for g in range(20) for i in range(5)]
+def test_only_what_is_over_a_count_leaves(spark):
+    rows = [(g * 10 + i, g, g % 2 * (g < 14), 2) for g in range(20) for i in range(5)] + [(1000 + i, 100 + i, 0, 0) for i in range(10)]
     placed = spark.createDataFrame(rows, "doc_id long, group long, _shard int, _zone int")
-    out = sharding._level(placed, 2, 100).collect()
-    assert Counter(r["shard"] for r in out) == {0: 50, 1: 50}
-    assert cut_groups((r.group, r["shard"]) for r in out) <= 1
+    out = sharding._level(placed, 2, 110).collect()
+    assert Counter(r["shard"] for r in out) == {0: 55, 1: 55}
+    was = {d: s for d, _, s, _ in rows}
+    left = [r for r in out if r["shard"] != was[r.doc_id]]
+    assert len(left) == 20 and {r.doc_id for r in left} >= set(range(1000, 1010))  # documents without links first
+    assert cut_groups((r.group, r["shard"]) for r in out) == 0
+    for s in range(2):
+        assert sorted(r.slot for r in out if r["shard"] == s) == list(range(55))
+
+
+def cut_edges(out, key):
+    """Pairs of rows of one group in two shards."""
+    groups = {}
+    for r in out:
+        groups.setdefault(key(r), Counter())[r["shard"]] += 1
+    return sum((n := sum(c.values())) * (n - 1) // 2 - sum(k * (k - 1) // 2 for k in c.values()) for c in groups.values())
+
+
+def test_rounds_lower_the_cut_edges(spark):
+    """Without rounds the same levelling leaves groups where doc_ids hash to; each round gathers more of them."""
+    rows = [(i, f"group {i // 7}", "x", "y") for i in range(4800)]
+    frame, cut = spark.createDataFrame(rows, SCHEMA), []
+    for rounds in (0, 1, 4):
+        out = sharding.shard_documents(frame, shards=24, rounds=rounds).collect()
+        check(rows, out, 24)
+        cut.append(cut_edges(out, lambda r: r.text_crc32))
+    assert cut[0] > 13_000 > cut[1] > 4 * cut[2], cut
+
+
+def test_three_hot_groups_share_the_shards(spark):
+    rows = [(i, f"hot {i % 3}", "x", "y") for i in range(2400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    parts = []
+    for rounds in (0, 4):
+        out = sharding.shard_documents(frame, shards=24, rounds=rounds).collect()
+        check(rows, out, 24)
+        parts.append(len({(r.text_crc32, r["shard"]) for r in out}))
+    assert parts[0] == 72 and parts[1] <= 36, parts  # 24 at least
+
+
+def test_one_group_of_all_rows(spark):
+    rows = [(i, "same", "x", "y") for i in range(500)]
+    check(rows, sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), shards=24).collect(), 24)
+
+
+def test_shares_hold_quotas():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        flows, load = rng.integers(0, 90, (6, 6)) * (rng.random((6, 6)) < 0.6), rng.integers(300, 700, 6)
+        np.fill_diagonal(flows, 0)
+        shares = sharding.granted_shares(flows.astype(float), load.astype(float), 550.0)
+        after = load + flows.sum(axis=0) * shares - flows @ shares
+        assert ((after <= 551) | (shares == 0)).all() and (shares >= 0).all() and (shares <= 1).all()
