@@ -207,10 +207,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, size: int = GRAM, sha
     """(_id, _mark, places) of the texts with repeated windows: places are structs (start, flags) of their stretches."""
     spark = docs.sparkSession
     every = materialize(anchored(docs, heavy_grams(docs, size), window, size))
-    named = F.min(F.struct(*_KEY, "start", "windows")).alias("_at")
-    alike = materialize(every.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("_n"), named))
-    shared = alike.groupBy("anchor").agg(F.sum("_n").alias("_all")).where("_all > 1").select("anchor")
-    wanted = materialize(alike.join(shared, "anchor", "left_semi").select("anchor", "mark", "_at.*", (F.col("_n") > 1).alias("twice")))
+    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_all")).where("_all > 1").select("anchor")
+    every = materialize(every.join(shared, "anchor", "left_semi"))
+    alike = every.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*_KEY, "start", "windows")).alias("_at"))
+    wanted = materialize(alike.select("anchor", "mark", "_at.*", (F.col("_n") > 1).alias("twice")))
     n, tasks = wanted.count(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-n // shard), min(tasks, n // 500))
     flagged = contents(docs, wanted, shards, window).groupBy("shard").applyInArrow(lambda t: shard_repeats(t, window), "anchor long, mark long, flags long")
