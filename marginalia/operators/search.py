@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -152,9 +152,11 @@ def ranked(notes: DataFrame, query: str | None = None, order: str | None = None,
     return found, [*first, F.collate(F.col("path"), "UNICODE"), F.col("path")], terms
 
 
-def search(notes: DataFrame, query: str | None = None, limit: int | None = None, offset: int | None = None, explain: bool = False, compact: Column | None = None, **options) -> DataFrame:
-    """A page of results with snippets, best first; ``rank`` (from 1) keeps the order when it is written."""
+def search(notes: DataFrame, query: str | None = None, limit: int | None = None, offset: int | None = None, explain: bool = False, compact: Column | None = None, observed: Observation | None = None, **options) -> DataFrame:
+    """A page of results with snippets, best first; ``rank`` (from 1) keeps the order when it is written. ``observed`` gets total_count."""
     found, order, terms = ranked(notes, query, **options)
+    if observed:
+        found = found.observe(observed, F.count(F.lit(1)).alias("total_count"))
     size, skip = min(max(PAGE if limit is None else limit, 1), PAGE_MOST), max(offset or 0, 0)
     page = found.orderBy(*order).offset(skip).limit(size)
     page = page.withColumn("rank", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + skip).cast("int"))  # PAGE_MOST rows at most
@@ -163,6 +165,17 @@ def search(notes: DataFrame, query: str | None = None, limit: int | None = None,
     return page.select(*columns, *([c for c in found.columns if c.startswith("score_")] if explain else []), snippet_udf([t.text for t in terms])(texts).alias("snippet"))
 
 
+def page_and_total(notes: DataFrame, query: str | None = None, **request) -> tuple[DataFrame, int]:
+    """A page of results and how many notes match, from one scan: matches are counted on their way to the page's sort.
+
+    The page, PAGE_MOST rows at most, is held by the driver.
+    """
+    counted = Observation()
+    found = search(notes, query, observed=counted, **request)
+    rows = found.collect()
+    return notes.sparkSession.createDataFrame(rows, found.schema), counted.get["total_count"]
+
+
 def total_count(notes: DataFrame, query: str | None = None, **options) -> DataFrame:
     """One row: how many notes match."""
     found, _, _ = ranked(notes, query, **options)

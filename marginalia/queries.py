@@ -112,6 +112,12 @@ def search_total_count(spark, sf_dir):
     return search.total_count(_notes(spark, sf_dir), QUERY, client="fr")
 
 
+@query(f"WITH {NOTES_SQL}, {_score_sql()}, page AS (SELECT id, path, score_text AS score, count(*) OVER () AS total_count FROM found WHERE score_text > 0 AND project = 'src3') SELECT * FROM page ORDER BY score DESC, path LIMIT 10 OFFSET 3")
+def search_page(spark, sf_dir):
+    page, total = search.page_and_total(_notes(spark, sf_dir), QUERY, offset=3, project="src3")
+    return page.select("id", "path", "score", F.lit(total).cast("long").alias("total_count"))
+
+
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, path, score_text AS score FROM found WHERE score_text > 0")
 def search_all_scores(spark, sf_dir):
     found, _, _ = search.ranked(_notes(spark, sf_dir), QUERY)
@@ -340,9 +346,42 @@ def context_pack(spark, sf_dir):
     return context.context(notes(spark, sf_dir), QUERY, token_budget=8000, depth=2, project="src2").drop("heading_path")
 
 
-@query()
+def _prefixes_sql(table: str, key: str, most: int) -> str:
+    """Table pre (key, k, est): estimated tokens of the first k characters of each body, up to ``most``."""
+    return f"""
+letters AS (SELECT {key}, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM (SELECT {key}, string_split(substr(body, 1, {most}), '') AS l FROM {table} WHERE body <> '')),
+counted AS (SELECT {key}, k, sum(CASE WHEN unicode(c) < 128 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY k) AS ascii FROM letters UNION ALL SELECT {key}, 0, 0 FROM {table}),
+pre AS (SELECT {key}, CAST(k AS BIGINT) AS k, CAST(ceil(((ascii + 1) / 4.0 + (k - ascii) / 2.0) * CAST(1.15 AS DOUBLE)) AS BIGINT) AS est FROM counted)"""
+
+
+@query(f"""WITH RECURSIVE {NOTES_SQL},
+mine AS (SELECT *, row_number() OVER (ORDER BY effective_ts DESC, path) AS place FROM notes WHERE project = 'src4' AND list_contains(tags, 'quality-1')), {_prefixes_sql("mine", "place", 16000)},
+bought AS (SELECT CAST(0 AS BIGINT) AS place, CAST(4000 AS BIGINT) AS left_over, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS k
+  UNION ALL SELECT p.place, b.left_over - max(p.est), max(p.est), max(p.k) FROM bought b JOIN pre p ON p.place = b.place + 1 AND p.est <= b.left_over WHERE b.left_over >= 1 GROUP BY p.place, b.left_over)
+SELECT id, path, title, effective_ts AS updated_at, used AS est_tokens, k < length(body) AS truncated, substr(body, 1, k) AS text FROM bought JOIN mine USING (place)""")
 def state_docs(spark, sf_dir):
-    return project.state_docs(project.of_project(_notes(spark, sf_dir), "src4"), 4000, tag="quality-1")
+    return project.state_docs(project.of_project(_notes(spark, sf_dir), "src4"), 4000, tag="quality-1").drop("root")
+
+
+@query(f"""WITH RECURSIVE {NOTES_SQL}, {_LINKS_SQL}, {_CANDIDATES_SQL},
+merged AS (SELECT path, max(score) AS score, min(rank) AS rank FROM every GROUP BY path),
+own AS (SELECT m.path, m.score, m.rank, n.id, n.title, n.updated_at, n.body, n.folded_body, row_number() OVER (ORDER BY m.path) AS place,
+  row_number() OVER (PARTITION BY trim(regexp_replace(n.body, '\\s+', ' ', 'g')) ORDER BY m.score DESC, m.path) > 1 AS duplicate FROM merged m JOIN notes n ON n.path = m.path),
+weighed AS (SELECT *, score * greatest(CAST(0.1 AS DOUBLE), (CASE WHEN contains(folded_body, 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(folded_body, 'ing') THEN 1 ELSE 0 END) / CAST(2 AS DOUBLE)) AS dense,
+  CAST(ceil(((length(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g')) + 1) / 4.0 + (length(body) - length(regexp_replace(body, '[^\\x00-\\x7F]', '', 'g'))) / 2.0) * CAST(1.15 AS DOUBLE)) AS BIGINT) + 40 AS cost FROM own),
+queue AS (SELECT *, row_number() OVER (ORDER BY dense / cost DESC, place) AS turn FROM weighed WHERE NOT duplicate), {_prefixes_sql("queue", "turn", 12000)},
+walked AS (SELECT CAST(0 AS BIGINT) AS turn, CAST(8000 AS BIGINT) AS left_over, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS k, false AS bought
+  UNION ALL SELECT p.turn, CASE WHEN least(w.left_over, 3200) - 40 >= 32 THEN w.left_over - max(p.est) - 40 ELSE w.left_over END, max(p.est) + 40, max(p.k), least(w.left_over, 3200) - 40 >= 32
+    FROM walked w JOIN pre p ON p.turn = w.turn + 1 AND p.est <= greatest(least(w.left_over, 3200) - 40, 1) GROUP BY p.turn, w.left_over),
+left_out AS (SELECT id, path, title, 'duplicate' AS reason, 0 AS turn, place FROM weighed WHERE duplicate UNION ALL SELECT q.id, q.path, q.title, 'budget', turn, q.place FROM queue q JOIN walked w USING (turn) WHERE NOT w.bought),
+shown AS (SELECT * FROM left_out ORDER BY turn, place LIMIT 50)
+SELECT 'chunk' AS kind, id, path, title, updated_at, ['seed', 'recent', 'linked:out', 'linked:in', 'source_ref', 'same_project'][rank + 1] AS relationship, round(dense, 9) AS score, 0 AS section, CAST(1 AS BIGINT) AS sections,
+  k < length(body) AS truncated, used AS tokens, substr(body, 1, k) AS text, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS seed_count, CAST(NULL AS BIGINT) AS total_candidates FROM queue JOIN walked USING (turn) WHERE bought
+UNION ALL SELECT 'omitted', id, path, title, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason, NULL, NULL FROM shown
+UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, (SELECT count(*) FROM left_out), NULL, 8000 - (SELECT min(left_over) FROM walked), NULL, NULL, (SELECT count(*) FROM seeds), (SELECT count(*) FROM merged)""")
+def context_pack_near(spark, sf_dir):
+    found = context.context(notes(spark, sf_dir), QUERY, token_budget=8000, depth=1, project="src2")
+    return found.select("kind", "id", "path", "title", "updated_at", "relationship", F.round("score", 9).alias("score"), "section", F.col("sections").cast("long").alias("sections"), "truncated", "tokens", "text", "reason", "seed_count", "total_candidates")
 
 
 @query(f"WITH {NOTES_SQL} SELECT path, CASE WHEN starts_with(path, 'projects/en/') THEN 'english' WHEN list_contains(tags, 'toxic-1') THEN 'flagged' END AS type, CAST(CASE WHEN starts_with(path, 'projects/en/') THEN 1.2 WHEN list_contains(tags, 'toxic-1') THEN 0.3 ELSE 1.0 END AS DOUBLE) AS weight FROM notes")
