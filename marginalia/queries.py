@@ -129,6 +129,19 @@ def snippet_heads(spark, sf_dir):
     return search.search(_notes(spark, sf_dir), "", limit=50, compact=compact_expr(F.col("body"))).select("id", "snippet")
 
 
+@query(f"""WITH {NOTES_SQL}, {_score_sql()},
+page AS (SELECT id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS c FROM found WHERE score_text > 0 ORDER BY score_text DESC, path LIMIT 50),
+hits AS (SELECT id, c, length(c) AS n, list_sort(list_filter([strpos(lower(c), 'tion') - 1, strpos(lower(c), 'ing') - 1], lambda x: x >= 0)) AS h FROM page),
+first AS (SELECT *, greatest(0, h[1] - 60) AS a, least(n, greatest(0, h[1] - 60) + 160) AS b FROM hits),
+second AS (SELECT *, CASE WHEN len(h) > 1 AND NOT (a <= h[2] AND h[2] < b) THEN greatest(0, h[2] - 60) END AS d FROM first)
+SELECT id, CASE WHEN len(h) = 0 THEN substr(c, 1, 220) || CASE WHEN n > 220 THEN '...' ELSE '' END ELSE
+  CASE WHEN a > 0 THEN '...' ELSE '' END || substr(c, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) || CASE WHEN b < n THEN '...' ELSE '' END
+  || CASE WHEN d IS NULL THEN '' ELSE ' … ' || CASE WHEN d > 0 THEN '...' ELSE '' END || substr(c, CAST(d + 1 AS BIGINT), 160) || CASE WHEN d + 160 < n THEN '...' ELSE '' END END END AS snippet FROM second""")
+def snippet_windows(spark, sf_dir):
+    """The default compaction, and windows around the first hits of two terms."""
+    return search.search(_notes(spark, sf_dir), QUERY, limit=50).select("id", "snippet")
+
+
 @query(f"WITH {NOTES_SQL}, {_score_sql()} SELECT id, title, 'https://notes.example/v/' || path AS url FROM found WHERE score_text > 0 ORDER BY score_text DESC, path LIMIT 10")
 def compat_search(spark, sf_dir):
     return search.compat_search(_notes(spark, sf_dir), QUERY, "https://notes.example/v/")
@@ -249,6 +262,42 @@ def outline(spark, sf_dir):
     return entries.select("path", "o.heading", "o.level", "o.start_line", "o.chars")
 
 
+_NESTED_SQL = """
+turns AS (SELECT conv_id, turn, role, '## ' || role || ' ' || turn || chr(10) || text || chr(10) || '### note ' || turn || chr(10) || role AS part, text FROM conversations),
+placed AS (SELECT *, coalesce(sum(len(string_split(part, chr(10)))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 AS start FROM turns),
+whole AS (SELECT conv_id, '# Conv ' || conv_id || chr(10) || string_agg(part, chr(10) ORDER BY turn) AS body FROM turns GROUP BY conv_id)"""
+
+
+def _nested(spark, sf_dir):
+    """Conversations with a heading of their own, one for each turn, and one inside each turn."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    number = F.col("turn").cast("string")
+    part = F.concat(F.lit("## "), "role", F.lit(" "), number, F.lit("\n"), "text", F.lit("\n### note "), number, F.lit("\n"), "role")
+    parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("p"))
+    return parts.select("conv_id", F.concat(F.lit("# Conv "), F.col("conv_id").cast("string"), F.lit("\n"), F.array_join(F.transform("p", lambda x: x["part"]), "\n")).alias("body"))
+
+
+@query(f"""WITH {_NESTED_SQL} SELECT conv_id, 'Conv ' || conv_id AS heading, CAST(1 AS BIGINT) AS level, 'Conv ' || conv_id AS heading_path, CAST(1 AS BIGINT) AS start_line, CAST(length(body) AS BIGINT) AS chars FROM whole
+UNION ALL SELECT conv_id, role || ' ' || turn, 2, 'Conv ' || conv_id || '/' || role || ' ' || turn, CAST(start AS BIGINT), length(part) FROM placed
+UNION ALL SELECT conv_id, 'note ' || turn, 3, 'Conv ' || conv_id || '/' || role || ' ' || turn || '/note ' || turn, CAST(start + 1 + len(string_split(text, chr(10))) AS BIGINT), length('### note ' || turn || chr(10) || role) FROM placed""")
+def outline_nested(spark, sf_dir):
+    entries = _nested(spark, sf_dir).select("conv_id", F.explode(project.outline_udf("body")).alias("o"))
+    return entries.select("conv_id", "o.heading", "o.level", F.array_join("o.heading_path", "/").alias("heading_path"), "o.start_line", "o.chars")
+
+
+@query(f"""WITH {_NESTED_SQL}, wanted AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN part ELSE '### note 3' || chr(10) || role END AS text FROM turns WHERE turn = 1 AND role = 'assistant' OR turn = 3)
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM wanted GROUP BY conv_id""")
+def sections_nested(spark, sf_dir):
+    """A whole turn and a section inside another; what is left out between them is a blank line."""
+
+    def run(frames):
+        for f in frames:
+            f = f.assign(text=[select_sections(b, ["ASSISTANT 1", "note 3"])[0] for b in f["body"]])
+            yield f.loc[f["text"] != "", ["conv_id", "text"]]
+
+    return _nested(spark, sf_dir).mapInPandas(run, "conv_id long, text string")
+
+
 @query(f"""WITH {SESSIONS_SQL}, long AS (SELECT conv_id FROM sessions WHERE length(body) > 3000),
 pieces AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section, length(part) AS chars FROM parts JOIN long USING (conv_id)
   UNION ALL SELECT conv_id, 0, length(body) FROM sessions WHERE length(body) <= 3000)
