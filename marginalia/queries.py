@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions.markdown import select_sections, split_sections
 from .functions.text import character_counts_udf, compact_expr, content_fingerprint_udf, tokens_expr
-from .operators import graph, search
+from .operators import graph, search, sections
 from .operators.tables import snapshot
 from .plans import context, project
 from .sources.views import LINKED_SQL, NOTES_SQL, NOW, SESSIONS_SQL, linked_notes, notes, sessions
@@ -254,9 +254,12 @@ def recent_sessions(spark, sf_dir):
     return found.select("path", "size_bytes", F.when(F.col("outline").isNotNull(), F.size("outline").cast("long")).alias("headings"))
 
 
-@query(f"""WITH {SESSIONS_SQL}, heads AS (SELECT conv_id, role || ' ' || CAST(turn AS VARCHAR) AS heading, part, row_number() OVER w AS k,
+_OUTLINE_SQL = f"""WITH {SESSIONS_SQL}, heads AS (SELECT conv_id, role || ' ' || CAST(turn AS VARCHAR) AS heading, part, row_number() OVER w AS k,
   coalesce(sum(len(string_split(part, chr(10)))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start_line FROM parts JOIN conversations USING (conv_id, turn) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT 'sessions/' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '.md' AS path, heading, CAST(2 AS BIGINT) AS level, CAST(start_line AS BIGINT) AS start_line, CAST(length(part) AS BIGINT) AS chars FROM heads""")
+SELECT 'sessions/' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '.md' AS path, heading, CAST(2 AS BIGINT) AS level, CAST(start_line AS BIGINT) AS start_line, CAST(length(part) AS BIGINT) AS chars FROM heads"""
+
+
+@query(_OUTLINE_SQL)
 def outline(spark, sf_dir):
     entries = sessions(spark, sf_dir).select("path", F.explode(project.outline_udf("body")).alias("o"))
     return entries.select("path", "o.heading", "o.level", "o.start_line", "o.chars")
@@ -277,6 +280,16 @@ def _nested(spark, sf_dir):
     return parts.select("conv_id", F.concat(F.lit("# Conv "), F.col("conv_id").cast("string"), F.lit("\n"), F.array_join(F.transform("p", lambda x: x["part"]), "\n")).alias("body"))
 
 
+@query(_OUTLINE_SQL)
+def outline_turns(spark, sf_dir):
+    """The same from rows of turns, of which no task needs a whole conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text")
+    path = F.concat(F.lit("sessions/"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit(".md"))
+    found = sections.outline_of_parts(turns.select(path.alias("path"), "turn", text.alias("part")), "path", "turn", "part")
+    return found.select(F.col("note").alias("path"), "heading", "level", "start_line", "chars")
+
+
 @query(f"""WITH {_NESTED_SQL} SELECT conv_id, 'Conv ' || conv_id AS heading, CAST(1 AS BIGINT) AS level, 'Conv ' || conv_id AS heading_path, CAST(1 AS BIGINT) AS start_line, CAST(length(body) AS BIGINT) AS chars FROM whole
 UNION ALL SELECT conv_id, role || ' ' || turn, 2, 'Conv ' || conv_id || '/' || role || ' ' || turn, CAST(start AS BIGINT), length(part) FROM placed
 UNION ALL SELECT conv_id, 'note ' || turn, 3, 'Conv ' || conv_id || '/' || role || ' ' || turn || '/note ' || turn, CAST(start + 1 + len(string_split(text, chr(10))) AS BIGINT), length('### note ' || turn || chr(10) || role) FROM placed""")
