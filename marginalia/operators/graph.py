@@ -41,24 +41,8 @@ def nodes(notes: DataFrame) -> DataFrame:
     return one.withColumn("scope", F.coalesce("root", F.lit(""))).withColumn("key", lookup_form_udf("local_path")).withColumn("name", F.element_at(F.split("key", "/"), -1))
 
 
-def resolved_links(notes: DataFrame) -> DataFrame:
-    """(src, raw, target, candidates) of the distinct links of each note.
-
-    Wiki links: a path of any root, a path of the own root, else a name that one note of the root has. Others
-    get candidates by name, title or alias, which never resolve: the first NAMED_MOST by path, from tables that hold
-    no more for a key, so a frequent name is not multiplied by the links to it. Markdown links are paths from the
-    note's folder.
-    """
-    known = snapshot(nodes(notes))
-    prefixed = known.where("root is not null").select(lookup_form_udf("path").alias("p_key"), F.col("path").alias("p_path"))
-    local = known.groupBy("scope", "key").agg(F.max("path").alias("l_path")).withColumnsRenamed({"scope": "l_scope", "key": "l_key"})
-    named = known.groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n_count"), F.min("path").alias("n_path")).withColumnsRenamed({"scope": "n_scope", "name": "n_name"})
-    source = notes.dropDuplicates(["path"]).select(F.col("path").alias("src"), "local_path", F.coalesce("root", F.lit("")).alias("scope"), "wiki_links", "md_links")
-    wiki = source.select("src", "scope", F.explode(F.array_distinct("wiki_links")).alias("raw")).withColumn("form", lookup_form_udf("raw"))
-    wiki = wiki.join(prefixed, F.col("form") == F.col("p_key"), "left").join(local, (F.col("scope") == F.col("l_scope")) & (F.col("form") == F.col("l_key")), "left")
-    wiki = wiki.join(named, (F.col("scope") == F.col("n_scope")) & (F.col("form") == F.col("n_name")), "left")
-    unique = F.when(F.col("n_count") == 1, F.col("n_path"))
-    wiki = wiki.select("src", "scope", "raw", "form", F.coalesce("p_path", "l_path", unique).alias("target"))
+def _candidates(wiki: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, raw, candidates) of the links without a target."""
     lost = wiki.where("target is null").select("src", "scope", "raw", "form").withColumn("declared", nfc_udf("raw"))
     hints = lambda keyed, on, rank: lost.join(keyed, (F.col("scope") == F.col("h_scope")) & (F.col(on) == F.col("h_key"))).select("src", "raw", F.col("h_path").alias("note"), F.lit(rank).alias("rank"))
 
@@ -72,12 +56,33 @@ def resolved_links(notes: DataFrame) -> DataFrame:
     every = every.unionByName(hints(as_hint(by_alias, nfc_udf("alias")), "declared", 2))
     via = F.element_at(F.array(F.lit("basename"), F.lit("title"), F.lit("alias")), F.col("rank") + 1)
     ways = every.groupBy("src", "raw", "note").agg(F.min("rank").alias("rank")).groupBy("src", "raw").agg(F.array_sort(F.collect_list(F.struct(F.col("note").alias("path"), via.alias("via")))).alias("candidates"))
-    ways = ways.withColumn("candidates", F.slice("candidates", 1, NAMED_MOST))  # of three tables of so many at most
-    wiki = wiki.join(ways, ["src", "raw"], "left").select("src", "raw", "target", "candidates")
+    return ways.withColumn("candidates", F.slice("candidates", 1, NAMED_MOST))  # of three tables of so many at most
+
+
+def resolved_links(notes: DataFrame, named: bool = True) -> DataFrame:
+    """(src, raw, target, candidates) of the distinct links of each note; candidates are null unless they are to be ``named``.
+
+    Wiki links: a path of any root, a path of the own root, else a name that one note of the root has. Others
+    get candidates by name, title or alias, which never resolve: the first NAMED_MOST by path, from tables that hold
+    no more for a key, so a frequent name is not multiplied by the links to it. Markdown links are paths from the
+    note's folder.
+    """
+    known, kind = snapshot(nodes(notes)), "array<struct<path:string,via:string>>"
+    prefixed = known.where("root is not null").select(lookup_form_udf("path").alias("p_key"), F.col("path").alias("p_path"))
+    local = known.groupBy("scope", "key").agg(F.max("path").alias("l_path")).withColumnsRenamed({"scope": "l_scope", "key": "l_key"})
+    by_name = known.groupBy("scope", "name").agg(F.count(F.lit(1)).alias("n_count"), F.min("path").alias("n_path")).withColumnsRenamed({"scope": "n_scope", "name": "n_name"})
+    source = notes.dropDuplicates(["path"]).select(F.col("path").alias("src"), "local_path", F.coalesce("root", F.lit("")).alias("scope"), "wiki_links", "md_links")
+    wiki = source.select("src", "scope", F.explode(F.array_distinct("wiki_links")).alias("raw")).withColumn("form", lookup_form_udf("raw"))
+    wiki = wiki.join(prefixed, F.col("form") == F.col("p_key"), "left").join(local, (F.col("scope") == F.col("l_scope")) & (F.col("form") == F.col("l_key")), "left")
+    wiki = wiki.join(by_name, (F.col("scope") == F.col("n_scope")) & (F.col("form") == F.col("n_name")), "left")
+    unique = F.when(F.col("n_count") == 1, F.col("n_path"))
+    wiki = wiki.select("src", "scope", "raw", "form", F.coalesce("p_path", "l_path", unique).alias("target"))
+    wiki = wiki.join(_candidates(wiki, known), ["src", "raw"], "left") if named else wiki.withColumn("candidates", F.lit(None).cast(kind))
+    wiki = wiki.select("src", "raw", "target", "candidates")
     md = source.select("src", "scope", "local_path", F.explode(F.array_distinct("md_links")).alias("raw"))
     md = md.withColumn("form", lookup_form_udf("raw")).withColumn("relative", resolve_udf("raw", "local_path"))
     md = md.join(prefixed, F.col("form") == F.col("p_key"), "left").join(local, (F.col("scope") == F.col("l_scope")) & (F.col("relative") == F.col("l_key")), "left")
-    md = md.select("src", "raw", F.coalesce("p_path", "l_path").alias("target"), F.lit(None).cast(wiki.schema["candidates"].dataType).alias("candidates"))
+    md = md.select("src", "raw", F.coalesce("p_path", "l_path").alias("target"), F.lit(None).cast(kind).alias("candidates"))
     return wiki.unionByName(md).distinct()
 
 
@@ -86,6 +91,11 @@ def edges(links: DataFrame) -> DataFrame:
     return links.where("target is not null and target <> src").select("src", F.col("target").alias("dst")).distinct()
 
 
+def note_edges(notes: DataFrame) -> DataFrame:
+    """The edges of all ``notes``, without naming candidates on the way."""
+    return edges(resolved_links(notes, named=False))
+
+
 def backlinks(edge: DataFrame) -> DataFrame:
     """(path, source): every note that links to a note."""
     return edge.select(F.col("dst").alias("path"), F.col("src").alias("source"))

@@ -185,7 +185,7 @@ def links_resolved(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return graph.edges(graph.resolved_links(notes(spark, sf_dir)))
+    return graph.note_edges(notes(spark, sf_dir))
 
 
 def _near(spark, sf_dir, depth):
