@@ -10,7 +10,7 @@ one), else to the message before it. Quotes, and lines announcing them, are take
 Conversations are ordered by reply: a message comes after the one of its conversation that it replies to, with
 all answers to an answer before the next thread. A run of messages without a quote of an earlier one stays
 together; a run that goes back to an earlier message comes after the run it goes back to, later branching ones
-first. Branches of more than DEPTH branches come last, by turn, so parents still come first. Replies to other
+first, however deep branches of branches go. Replies to other
 conversations are named in ``reply_conv`` and don't move a message. Numbers come from a sort by range and counts, so
 no conversation is gathered in one task.
 
@@ -36,8 +36,8 @@ from .common import materialize, salts_for
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
 #: How mail programs announce a quotation.
 ANNOUNCED = re.compile(r"(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
-#: Turns of a range, branches of branches that are followed, and words of a passage from another conversation.
-RANGE, DEPTH, LEAST = 256, 24, 3
+#: Turns of a range, and least words of a passage from another conversation.
+RANGE, LEAST = 256, 3
 
 
 def normal(text: str) -> str:
@@ -139,33 +139,22 @@ def carried(turns: DataFrame, value: str, out: str, ahead: int) -> DataFrame:
     return joined.withColumn(out, F.coalesce(out, "_last")).drop("_range", "_conv", "_at", "_last")
 
 
-def branches(turns: DataFrame, depth: int = DEPTH) -> DataFrame:
+def branches(turns: DataFrame) -> DataFrame:
     """(conv_id, head, path) of the runs that go back to an earlier message, from (conv_id, turn, start, to, head).
 
     A path is what orders a run: for each branch from the conversation's first run on, the turn it goes back to, latest
-    first, and its first turn.
+    first, and its first turn. Each round doubles the part of a path that is known, so rounds are logarithmic in the depth.
     """
     own = F.array(F.struct((-F.col("to")).alias("back"), F.col("head").alias("at")))
-    parents = turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("head").alias("parent"))
-    runs = turns.where("start").join(parents, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("to") == F.col("_turn"))).select("conv_id", "head", "to", "parent")
-    waiting = materialize(runs)
-    done = [waiting.where("parent is null").select("conv_id", "head", own.alias("path"))]
-    for _ in range(depth - 1):
-        waiting = waiting.where("parent is not null") if len(done) == 1 else waiting
-        if waiting.isEmpty():
-            break
-        above = done[-1].select(F.col("conv_id").alias("_conv"), F.col("head").alias("_head"), F.col("path").alias("_path"))
-        on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("parent") == F.col("_head"))
-        found = materialize(waiting.join(above, on, "left").withColumn("path", F.when(F.col("_path").isNotNull(), F.concat("_path", own))).drop("_conv", "_head", "_path"))
-        done.append(found.where("path is not null").select("conv_id", "head", "path"))
-        waiting = found.where("path is null").drop("path")
-    else:
-        last = F.array(F.struct(F.lit(1 << 62).alias("back"), F.col("head").alias("at")))
-        done.append(waiting.where("parent is not null").select("conv_id", "head", last.alias("path")))
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    return every
+    parents = turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("head").alias("up"))
+    runs = turns.where("start").join(parents, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("to") == F.col("_turn")))
+    known = materialize(runs.select("conv_id", "head", "up", own.alias("path")))
+    while not known.where("up is not null").isEmpty():
+        above = known.select(F.col("conv_id").alias("_conv"), F.col("head").alias("_head"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        joined = known.join(above, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("up") == F.col("_head")), "left")
+        whole = F.concat(F.coalesce("_path", F.array().cast(known.schema["path"].dataType)), "path")
+        known = materialize(joined.select("conv_id", "head", F.col("_up").alias("up"), whole.alias("path")))
+    return known.select("conv_id", "head", "path")
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:

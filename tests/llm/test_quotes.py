@@ -93,11 +93,13 @@ def test_random_reply_trees(spark):
         assert all(at[r.reply_turn] < at[r.turn] for r in own if r.reply_turn is not None)
 
 
-def test_branches_beyond_the_depth(spark):
-    turns = spark.createDataFrame([(1, 0, False, None, None)] + [(1, k, k > 1, k - 2 if k > 1 else None, k if k > 1 else None) for k in range(1, 30)], "conv_id long, turn long, start boolean, to long, head long")
-    paths = {r.head: tuple(map(tuple, r.path)) for r in quotes.branches(turns, depth=4).collect()}
-    order = sorted(paths, key=lambda h: paths[h])
-    assert len(paths) == 28 and all(order.index(h - 2) < order.index(h) for h in paths if h - 2 in paths)
+def test_branches_of_any_depth(spark):
+    turns = spark.createDataFrame([(1, 0, False, None, None)] + [(1, k, k > 1, k - 2 if k > 1 else None, k if k > 1 else None) for k in range(1, 90)], "conv_id long, turn long, start boolean, to long, head long")
+    paths = {r.head: tuple(map(tuple, r.path)) for r in quotes.branches(turns).collect()}
+    want = {}
+    for k in range(2, 90):
+        want[k] = (*want.get(k - 2, ()), (2 - k, k))
+    assert paths == want and max(map(len, paths.values())) > 40
 
 
 def test_parsing_is_linear():
