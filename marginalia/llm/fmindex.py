@@ -47,15 +47,20 @@ class Wavelet:
         return self._down(symbols, at) - self.starts[symbols]
 
 
-def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols (or a few more), by doubling."""
-    rank, reach = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+def suffixes(text: np.ndarray, kinds: int, depth: int) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` symbols (or a few more): ranks of as many symbols as a long holds, then doubling."""
+    reach = max(k for k in range(1, 64) if k == 1 or (kinds + 1) ** k < 1 << 63)
+    key = np.zeros(len(text), np.int64)
+    for k in range(min(reach, max(1, depth))):
+        key *= kinds + 1
+        key[: max(0, len(text) - k)] += text[k:] + 1  # 0 stands behind the end
     while reach < depth:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         ahead = np.zeros_like(rank)
         ahead[:-reach] = rank[reach:] + 1
-        rank = np.unique(rank * (len(text) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        key = rank * (len(text) + 1) + ahead
         reach *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key, kind="stable")
 
 
 class FMIndex:
@@ -64,7 +69,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, kinds: int, depth: int):
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         self.n = len(text)
-        self.wavelet = Wavelet(text[suffixes(text, depth) - 1], kinds)
+        self.wavelet = Wavelet(text[suffixes(text, kinds, depth) - 1], kinds)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more symbol in front, from those of the patterns."""

@@ -35,6 +35,8 @@ HEAVY, LEAST = 200_000, 200
 COUNTED, NAMED = 1 << 22, 8
 #: Stretches of a shard, about. Bytes of a text that are split into words at once.
 SHARD, BLOCK = 16_000, 1 << 22
+#: Windows whose anchors are found at once; their places must fit into 21 bits.
+CHUNK = 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _KEY = ["_id", "_mark"]
@@ -86,6 +88,19 @@ class Heavy:
         return found
 
 
+def leftmost_least(rank: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each ``span`` neighbours, the leftmost at a tie; of a rank the first 43 bits count.
+
+    Places stand in the low bits, so plain minima over 1, 2, 4, ... neighbours give them.
+    """
+    least, width = (rank >> np.uint64(21) << np.uint64(21)) | np.arange(len(rank), dtype=np.uint64), 1
+    while 2 * width <= span:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < span:
+        least = np.minimum(least[: len(rank) - span + 1], least[span - width :])
+    return (least & np.uint64((1 << 21) - 1)).astype(np.int64)
+
+
 def stretches(words: np.ndarray, heavy: Heavy, window: int = WINDOW, size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, mark, start, windows) of each stretch of consecutive windows with one anchor; mark hashes the stretch's words.
 
@@ -97,8 +112,7 @@ def stretches(words: np.ndarray, heavy: Heavy, window: int = WINDOW, size: int =
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     rank = (grams >> np.uint64(1)) | (heavy.among(grams).astype(np.uint64) << np.uint64(63))
-    inside = np.lib.stride_tricks.sliding_window_view(rank, span)
-    at = np.concatenate([inside[k : k + BLOCK].argmin(axis=1) + np.arange(k, min(n, k + BLOCK)) for k in range(0, n, BLOCK)])
+    at = np.concatenate([leftmost_least(rank[k : k + CHUNK + span - 1], span) + k for k in range(0, n, CHUNK)])
     start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     windows = np.diff(np.concatenate([start, [n]]))
     powers = np.cumprod(np.full(len(words), _BASE, np.uint64))

@@ -103,7 +103,7 @@ def test_wavelet_ranks_and_bits():
 def test_suffixes_and_counts_of_patterns():
     rng = np.random.default_rng(5)
     text = np.concatenate([rng.integers(1, 4, 400), [0]])
-    order = suffixes(text, 8)
+    order = suffixes(text, 4, 8)
     heads = [tuple(text[i : i + 8]) for i in order]
     assert heads == sorted(heads)
     index = FMIndex(text, 4, 8)
@@ -115,6 +115,23 @@ def test_suffixes_and_counts_of_patterns():
         assert int((high - low)[0]) == sum(np.array_equal(text[i : i + k], text[at : at + k]) for i in range(len(text)))
 
 
+@pytest.mark.parametrize("kinds,depth", [(2, 1), (3, 40), (60_000, 9), (3_000_000, 17)])
+def test_suffixes_of_any_alphabet(kinds, depth):
+    rng = np.random.default_rng(kinds)
+    text = np.append(rng.integers(0, min(kinds, 3), 300), kinds - 1)
+    order = suffixes(text, kinds, depth)
+    heads = [tuple(text[i : i + depth]) for i in order]
+    assert sorted(order.tolist()) == list(range(301)) and heads == sorted(heads)
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 5, 8, 28])
+def test_leftmost_least(span):
+    rng = np.random.default_rng(span)
+    rank = rng.integers(0, 9, 200).astype(np.uint64) << np.uint64(40) | rng.integers(0, 9, 200).astype(np.uint64)
+    want = [k + int(np.argmin(rank[k : k + span] >> np.uint64(21))) for k in range(200 - span + 1)]
+    assert repeats.leftmost_least(rank, span).tolist() == want
+
+
 def test_intervals_are_all_windows_that_occur_twice():
     rng = np.random.default_rng(6)
     pieces = [rng.integers(1, 3, k) for k in rng.integers(3, 30, 60)]
