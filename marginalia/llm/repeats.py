@@ -221,7 +221,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, size: int = GRAM, sha
     """(_id, _mark, places) of the texts with repeated windows: places are structs (start, flags) of their stretches."""
     spark = docs.sparkSession
     every = materialize(anchored(docs, heavy_grams(docs, size), window, size))
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_all")).where("_all > 1").select("anchor")
+    shared = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("_all")).where("_all > 1").select("anchor"))  # as a table, so that Spark splits a frequent anchor's rows
     every = materialize(every.join(shared, "anchor", "left_semi"))
     alike = every.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*_KEY, "start", "windows")).alias("_at"))
     wanted = materialize(alike.select("anchor", "mark", "_at.*", (F.col("_n") > 1).alias("twice")))
