@@ -11,9 +11,10 @@ Targets share all words by weight; a target stops at ``cap`` times its source's
 excess is shared out again by weight.
 
 Nulls and odd rows: a null text has size 0, a null source is a source of its own that comes last;
-documents without words take none; a null doc_id is ordered first. Repeated rows are rows of their
-own; where more than HEAVY rows share source, id and size, their chunk is parted by the rows' places, so that no task gathers them.
-Other columns pass through ``mix`` unchanged, so inputs must not name columns ``_mix_*``.
+documents without words take none; a null doc_id is ordered first. Repeated rows are rows of their own. Where
+more than CHUNK rows are equal in all columns, they are counted instead, dealt in pieces of CHUNK rows, and each
+piece is rounded as a whole, so no task gathers them and the result doesn't depend on how the table is stored.
+Other columns pass through ``mix`` unchanged; they must be hashable (no maps) and not be named ``_mix_*``.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source that are rounded together, about, and rows of one id and size beyond which they are parted.
-CHUNK, HEAVY = 1024, 16_384
+#: Documents of a source that are rounded together, about, and equal rows of a piece at most.
+CHUNK = 1024
 #: Newton steps between two tables, and tables at most.
 STEPS, ROUNDS = 5, 12
 
@@ -78,8 +79,37 @@ def solve_duals(targets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     raise RuntimeError(f"the duals did not settle: {miss}")
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """Adds a hash of all columns, by which equal rows are found and ties are ordered."""
+    return rows.withColumn("_mix_mark", F.xxhash64(*rows.columns))
+
+
+def in_pieces(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds _mix_count and _mix_piece to marked rows: more than CHUNK equal rows become one row for each CHUNK of them.
+
+    Counts are summed on the map side first. A kept row stands for more than CHUNK others, so the broadcast
+    table has at most a CHUNK-th of the rows.
+    """
+    key = ["doc_id", "_mix_size", "_mix_mark"]
+    same = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("_mix_rows")).where(F.col("_mix_rows") > CHUNK)
+    heavy = materialize(same.select(F.col("doc_id").alias("_mix_d"), F.col("_mix_size").alias("_mix_n"), F.col("_mix_mark").alias("_mix_m"), "_mix_rows"))
+    single = lambda df: df.withColumn("_mix_count", F.lit(1).cast("long")).withColumn("_mix_piece", F.lit(0).cast("long"))
+    if heavy.isEmpty():
+        return single(rows)
+    on = F.col("doc_id").eqNullSafe(F.col("_mix_d")) & (F.col("_mix_size") == F.col("_mix_n")) & (F.col("_mix_mark") == F.col("_mix_m"))
+    light = single(rows.join(heavy, on, "left_anti"))
+    kept = rows.join(heavy, on).dropDuplicates(key)
+    kept = kept.withColumn("_mix_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_mix_rows") / CHUNK) - 1)))
+    kept = kept.withColumn("_mix_count", F.least(F.lit(CHUNK), F.col("_mix_rows") - F.col("_mix_piece") * CHUNK).cast("long"))
+    return light.unionByName(kept.select(*light.columns))
+
+
 def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, sizes: DataFrame | None = None) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows of (doc_id, source, _mix_size, ...). sizes: these columns as a table."""
+    """Adds source_size, target, rate and copies to rows of (doc_id, source, _mix_size, ...).
+
+    sizes: (doc_id, source, _mix_size, _mix_mark) of the same rows as a written table, if they are costly to make.
+    """
+    rows = marked(rows)
     sizes = rows if sizes is None else sizes
     solved = solve_duals(source_targets(sizes.select("source", "_mix_size"), weights, cap))
     solved = materialize(
@@ -89,43 +119,45 @@ def mix(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
             F.greatest(F.ceil(F.col("source_rows") / CHUNK), F.lit(1)).alias("_mix_chunks"),
         )
     )
-    same = sizes.groupBy(F.col("source").alias("_mix_s"), F.col("doc_id").alias("_mix_d"), F.col("_mix_size").alias("_mix_n")).agg(F.count(F.lit(1)).alias("_mix_rows"))
-    heavy = materialize(same.where(F.col("_mix_rows") > HEAVY))  # a row for more than HEAVY rows
-    place = F.lit(0)
-    if not heavy.isEmpty():
-        on = F.col("source").eqNullSafe(F.col("_mix_s")) & F.col("doc_id").eqNullSafe(F.col("_mix_d")) & (F.col("_mix_size") == F.col("_mix_n"))
-        rows = rows.withColumn("_mix_at", F.monotonically_increasing_id()).join(F.broadcast(heavy), on, "left")
-        rows = rows.withColumn("_mix_place", F.when(F.col("_mix_rows").isNotNull(), F.pmod(F.col("_mix_at"), F.ceil(F.col("_mix_rows") / CHUNK))).otherwise(0)).drop("_mix_at", "_mix_s", "_mix_d", "_mix_n", "_mix_rows")
-        place = F.col("_mix_place")
-    joined = rows.join(solved, F.col("source").eqNullSafe(F.col("_mix_source")))
-    chunk = F.pmod(F.xxhash64("doc_id", "_mix_size", place), F.col("_mix_chunks"))
-    joined = joined.withColumn("_mix_chunk", chunk).drop("_mix_source", "_mix_chunks", "_mix_place")
-    fields = [f for f in joined.schema.fields if f.name != "_mix_chunk"]
-    schema = StructType([*fields, StructField("_mix_copies", LongType())])
+    joined = in_pieces(rows, sizes).join(solved, F.col("source").eqNullSafe(F.col("_mix_source")))
+    chunk = F.pmod(F.xxhash64("doc_id", "_mix_size", "_mix_mark", "_mix_piece"), F.col("_mix_chunks"))
+    joined = joined.withColumn("_mix_chunk", chunk).drop("_mix_source", "_mix_chunks")
+    inner = ["_mix_chunk", "_mix_mark", "_mix_piece", "_mix_count"]
+    fields = [f for f in joined.schema.fields if f.name not in inner]
+    schema = StructType([*fields, StructField("_mix_copies", LongType()), StructField("_mix_times", LongType())])
 
     def run(table: pa.Table) -> pa.Table:
-        copies = round_chunk(table, cap)
-        return table.drop_columns(["_mix_chunk"]).append_column("_mix_copies", pa.array(copies))
+        place, copies, times = round_chunk(table, cap)
+        found = table.drop_columns(inner).take(pa.array(place))
+        return found.append_column("_mix_copies", pa.array(copies)).append_column("_mix_times", pa.array(times))
 
-    return joined.groupBy("source", "_mix_chunk").applyInArrow(run, schema)
+    rounded = joined.groupBy("source", "_mix_chunk").applyInArrow(run, schema)
+    return rounded.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).drop("_mix_time", "_mix_times")
 
 
-def round_chunk(table: pa.Table, cap: float) -> np.ndarray:
-    """Whole copies for the rows of a chunk; the words owed are carried from each document to the next smaller one."""
-    order = pc.sort_indices(table, sort_keys=[("_mix_size", "descending"), ("doc_id", "ascending")]).to_numpy()
-    sizes, rates = table["_mix_size"].to_numpy(), table["_mix_rate"].to_numpy()
+def round_chunk(table: pa.Table, cap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a chunk's rows, whole copies of each and how many equal rows get them.
+
+    The words owed are carried from each row to the next smaller one. Copies of a piece of equal rows are shared
+    out evenly: some of its rows may get one copy more than the others.
+    """
+    keys = [("_mix_size", "descending"), ("doc_id", "ascending"), ("_mix_mark", "ascending"), ("_mix_piece", "ascending")]
+    order = pc.sort_indices(table, sort_keys=keys).to_numpy()
+    sizes, rates, counts = (table[c].to_numpy() for c in ("_mix_size", "_mix_rate", "_mix_count"))
     copies, owed = np.zeros(len(sizes), np.int64), 0.0
     for i in order:
         if sizes[i] > 0:
-            owed += sizes[i] * rates[i]
-            copies[i] = min(int(cap), max(0, math.floor(owed / sizes[i] + 0.5)))
+            owed += sizes[i] * rates[i] * counts[i]
+            copies[i] = min(int(cap) * counts[i], max(0, math.floor(owed / sizes[i] + 0.5)))
             owed -= copies[i] * sizes[i]
-    return copies
+    each, more = copies // counts, copies % counts
+    place = np.concatenate([np.arange(len(sizes)), np.flatnonzero(more)])
+    return place, np.concatenate([each, each[more > 0] + 1]), np.concatenate([counts - more, more[more > 0]])
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``."""
     sized = docs.withColumn("_mix_size", word_count(F.col("text")))
-    sizes = materialize(sized.select("doc_id", "source", "_mix_size"))
+    sizes = materialize(marked(sized).select("doc_id", "source", "_mix_size", "_mix_mark"))
     taken = mix(sized, weights, cap, sizes).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -63,15 +63,27 @@ def test_single_source_and_empty(spark):
     assert blank.count() == 0
 
 
-def test_heavy_rows_are_parted(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "HEAVY", 500)
+def test_equal_rows_are_counted_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 64)
-    rows = [(7, "a b c", "s1")] * 2000 + [(None, "x", None)] * 900 + [(i, "w " * (i % 9 + 1), "s2") for i in range(600)]
-    sizes = mixing.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_mix_size", mixing.word_count(mixing.F.col("text"))).drop("text"))
-    out = mixing.mix(sizes).collect()
-    assert len(out) == len(rows) and all(0 <= r["_mix_copies"] <= 3 for r in out)
-    taken, target = {}, {}
-    for r in out:
-        taken[r.source] = taken.get(r.source, 0) + r["_mix_copies"] * r["_mix_size"]
-        target[r.source] = r["_mix_target"]
-    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 60 for s in taken), (taken, target)
+    rows = [(7, "a b c", "s1")] * 2000 + [(None, "x", None)] * 900 + [(9, f"w{i} w", "s3") for i in range(300)] + [(i, "w " * (i % 9 + 1), "s2") for i in range(600)]
+    found = []
+    for parts in (1, 7):
+        random.Random(parts).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mix(docs.withColumn("_mix_size", mixing.word_count(F.col("text")))).collect()
+        assert len(out) == len(rows) and all(0 <= r["_mix_copies"] <= 3 for r in out)
+        taken, target = {}, {}
+        for r in out:
+            taken[r.source] = taken.get(r.source, 0) + r["_mix_copies"] * r["_mix_size"]
+            target[r.source] = r["_mix_target"]
+        assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 60 for s in taken), (taken, target)
+        found.append(Counter((r.doc_id, r.text, r["_mix_copies"]) for r in out))
+    assert found[0] == found[1]  # however the table is stored
+    assert sum(n for (_, text, _), n in found[0].items() if text == "a b c") == 2000
+
+
+def test_a_piece_shares_its_copies_evenly():
+    table = mixing.pa.table({"doc_id": [1, 2, 3], "_mix_size": [10, 4, 0], "_mix_mark": [5, 6, 7], "_mix_piece": [0, 0, 0], "_mix_rate": [0.35, 0.5, 1.0], "_mix_count": [10, 1, 2]})
+    place, copies, times = mixing.round_chunk(table, 3.0)
+    # 35 of 100 words are owed: four rows of ten get a copy, five words too many; the next row of four words gets none
+    assert sorted(zip(place, copies, times)) == [(0, 0, 6), (0, 1, 4), (1, 0, 1), (2, 0, 2)]
