@@ -1,12 +1,13 @@
 """Operator 2: personal data by patterns and a semi-Markov conditional random field.
 
 Base spans follow fixed patterns (email, ip, card, phone) over the whole text and always stay. The
-semi-Markov CRF adds spans that the patterns miss (telephone numbers without a plus sign, spelled-out
-addresses): windows around digits and at-signs are cut into tokens, every token run of bounded length
+semi-Markov CRF adds spans that the patterns miss (telephone numbers without a plus sign, spelled-out or
+bracketed addresses, card numbers with other separators): windows around digits and at-signs are cut into tokens, every token run of bounded length
 that could be an entity (and has valid digits) is a candidate segment scored by features of the whole
 span, and dynamic programming chooses boundaries and types of all entities together. It learns by maximum
 likelihood from a bounded sample of windows (``sample`` in all, ``of_document`` of a document, both drawn by hashes)
-whose base spans are the labels, each also in disguised variants.
+whose base spans are the labels, each also in disguised variants, and from look-alikes (dates with times, order and
+article numbers, decimals, section numbers) made of the same digits, which are no entities.
 
 Nulls and odd rows: a null text is empty and has no span. Repeated rows are rows of their own; a null
 doc_id passes through; other columns are ignored. Offsets are code points, ends exclusive. Without any
@@ -19,7 +20,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]+|(?<=[\[(])\s?at\s?(?=[\])])", re.I)
+TRIGGER = re.compile(r"[0-9@]+|(?<=[\[({<])\s?at\s?(?=[\])}>])", re.I)
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+#: What may stand between two groups of a card's digits, and between two parts of an ip address.
+CARD_GAPS = frozenset([" ", "-", ".", "/", "_", "  "])
+IP_LOOSE = re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:(?: ?[\[({<] ?(?:\.|dot) ?[\])}>] ?| ?\. ?| dot )[0-9]{1,3}){3})(?![0-9]))", re.I)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[int, int, str]
@@ -101,23 +105,32 @@ def _features(tokens: list[str], i: int, j: int, kind: str) -> list[str]:
     side = lambda t: "d" if t[0].isdigit() else "w" if t[0].isalpha() else "s" if t.isspace() else t[0]
     joins = j + 1 < len(tokens) and right in ".-@()" and tokens[j + 1][0].isalnum()
     before = i >= 2 and left in ".-+@(" and tokens[i - 2][0].isalnum()
-    shape = re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 5)}", re.sub(r"[^\W\d_]+", "w", span))
-    out = [kind, f"{kind} shape {shape[:24]}" if kind != "email" else f"{kind} at {'@' in span}"]
+    lengths = [len(g) for g in re.findall("[0-9]+", span)] or [0]
+    gaps = {g for g in re.split("[0-9]+", span)[1:-1] if g}
+    out = [kind, f"{kind} gaps {len(gaps)}"]
+    out.append(f"ip alone {not (joins or before or _goes_on(tokens, i, j))}" if kind == "ip" else f"{kind} at {'@' in span}" if kind == "email" else f"{kind} shortest {min(3, *lengths, 3)}")
     out += [f"{kind} left {side(left)}", f"{kind} right {side(right)}", f"{kind} joins {joins} {before}"]
     if kind == "email":
         out.append(f"email goes on {_label_end(tokens, _dot_end(tokens, j)) > 0}")
         out.append(f"email cut {left[0].isalnum() or left in '._%+-'}")
     if kind in ("card", "phone"):
+        out += [f"{kind} longest {min(8, max(lengths))}", f"{kind} head {min(5, lengths[0])}", f"{kind} year {digits[:2] in ('19', '20') and lengths[0] in (4, 8, 12)}"]
         out += [f"{kind} digits {len(digits)}", f"{kind} first {span[0] if span[0] in '+(' else 'd'}", f"{kind} groups {min(6, len(re.findall('[0-9]+', span)))}"]
     return out
 
 
+def _goes_on(tokens: list[str], i: int, j: int) -> bool:
+    """Whether digits follow or precede tokens[i:j] with nothing but a separator between."""
+    near = lambda ts: next((t for t in ts if not t.isspace() and t not in ".-/_[](){}<>" and t.lower() != "dot"), "")
+    return near(tokens[j : j + 5])[:1].isdigit() or near(tokens[max(0, i - 5) : i][::-1])[:1].isdigit()
+
+
 def _dot_end(tokens: list[str], k: int) -> int:
     """Token after a dot at k, written or spelled out; 0 if there is none."""
     if k < len(tokens) and tokens[k] == ".":
         return k + 1
     k += k < len(tokens) and tokens[k] == " "
-    if k and k + 2 < len(tokens) and tokens[k] in "[(" and tokens[k + 1].lower() == "dot" and tokens[k + 2] in "])":
+    if k and k + 2 < len(tokens) and tokens[k] in "[({<" and tokens[k + 1].lower() == "dot" and tokens[k + 2] in "])}>":
         return k + 3 + (k + 3 < len(tokens) and tokens[k + 3] == " ")
     return 0
 
@@ -132,30 +145,31 @@ def _label_end(tokens: list[str], k: int) -> int:
 
 def candidates(tokens: list[str]) -> list[tuple[int, int, str, list[str]]]:
     """(first token, end token, kind, features) of all runs of tokens that could be an entity."""
-    found = []
+    found, place = [], _places(tokens)
+    for m in IP_LOOSE.finditer("".join(tokens)):
+        ends = (place.get(m.start(1)), place.get(m.end(1)))
+        if None not in ends and all(int(p) <= 255 for p in re.findall("[0-9]+", m.group(1))):
+            found.append((*ends, "ip"))
     for i, token in enumerate(tokens):
         if token[0] in "0123456789+(":
-            digits, plain, dotted = 0, True, True
+            digits, plain = 0, True
             for j in range(i, min(len(tokens), i + LONGEST)):
                 t = tokens[j]
                 if "0" <= t[0] <= "9":
                     digits += len(t)
-                elif t not in " ().-+" or t == "+" and j > i:
+                elif t not in " ().-+/" and t not in CARD_GAPS or t == "+" and j > i:
                     break
                 else:
-                    plain &= t in " -."
-                    dotted &= t == "."
+                    plain &= t in CARD_GAPS
                 if digits > 19:
                     break
                 if not "0" <= t[0] <= "9":
                     continue
-                if dotted and j - i == 6 and all(len(p) <= 3 and int(p) <= 255 for p in "".join(tokens[i : j + 1]).split(".")):
-                    found.append((i, j + 1, "ip"))
                 if digits >= 12 and plain and luhn(only_digits("".join(tokens[i : j + 1]))):
                     found.append((i, j + 1, "card"))
                 if 9 <= digits <= 15:
                     found.append((i, j + 1, "phone"))
-        spelled = token.lower() == "at" and 0 < i < len(tokens) - 1 and tokens[i - 1] in "[(" and tokens[i + 1] in "])"
+        spelled = token.lower() == "at" and 0 < i < len(tokens) - 1 and tokens[i - 1] in "[({<" and tokens[i + 1] in "])}>"
         if token == "@" or spelled:
             first, starts = i - spelled, []
             first -= spelled and first > 0 and tokens[first - 1] == " "
@@ -171,6 +185,16 @@ def candidates(tokens: list[str]) -> list[tuple[int, int, str, list[str]]]:
     return [(i, j, kind, _features(tokens, i, j, kind)) for i, j, kind in sorted(set(found), key=lambda c: (c[1], c[0], c[2]))]
 
 
+def _places(tokens: list[str]) -> dict[int, int]:
+    """Number of the token that begins at a code point; the end belongs to the one after the last."""
+    at, place = 0, {}
+    for k, t in enumerate(tokens):
+        place[at] = k
+        at += len(t)
+    place[at] = len(tokens)
+    return place
+
+
 class SemiCrf:
     """Weights of span features; tokens outside entities score 0."""
 
@@ -239,12 +263,8 @@ def _logsum(values: list[float]) -> float:
 
 def example(window: str, spans: list[Span]) -> tuple[int, list, set[int]]:
     """Tokens, candidates and which of them are the spans."""
-    tokens, at, place = TOKEN.findall(window), 0, {}
-    for k, t in enumerate(tokens):
-        place[at] = k
-        at += len(t)
-    place[at] = len(tokens)
-    cands = candidates(tokens)
+    tokens = TOKEN.findall(window)
+    place, cands = _places(tokens), candidates(tokens)
     true, free = {(place.get(a), place.get(b), kind) for a, b, kind in spans}, 0
     gold = set()
     for k, c in enumerate(cands):  # by end: of overlapping spans the first to end is the label
@@ -254,34 +274,75 @@ def example(window: str, spans: list[Span]) -> tuple[int, list, set[int]]:
     return len(tokens), cands, gold
 
 
-#: Ways to write what the patterns don't expect: separators of a telephone number's groups, and an address's two signs.
-SEPARATORS, SIGNS = (None, " ", "."), ((" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "))
-VARIANTS = 3
+#: Ways to write what the patterns don't expect: separators of a telephone number's groups, an address's two signs, the
+#: separators of a card's groups, the dots of an ip address; and the lengths of groups into which digits are cut anew.
+SEPARATORS, SIGNS = (None, " ", ".", "-", " ", "/"), ((" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "))
+CARD_MARKS, IP_DOTS = (".", "/", ".", "/", " - ", "."), ("[.]", " . ", "(dot)")
+PHONE_GROUPS, CARD_GROUPS = (None, None, None, (3, 4, 9), (2, 2, 2, 2, 9), (3, 9)), ((4, 4, 4, 4, 9),) * 3 + ((4, 6, 9),) * 2 + ((5, 5, 9),)
+VARIANTS = 6
 
 
-def disguised(window: str, spans: list[Span], variant: int = 0) -> tuple[str, list[Span]]:
-    """The window with its telephone numbers and addresses written as the patterns don't expect."""
+def _grouped(digits: str, lengths: tuple[int, ...]) -> list[str]:
+    """Digits cut into groups of these lengths; a last one of a single digit joins the one before."""
+    out = []
+    for n in lengths:
+        out, digits = [*out, digits[:n]] if digits else out, digits[n:]
+    return out if len(out[-1]) > 1 or len(out) == 1 else [*out[:-2], out[-2] + out[-1]]
+
+
+def _rewritten(window: str, spans: list[Span], piece_of: Callable[[str, str], str | None], entity: bool) -> tuple[str, list[Span]]:
+    """The window with each span written anew; the spans of entities move along, None leaves one as it is."""
     out, new, done = "", [], 0
     for a, b, kind in spans:
         if a < done:
             continue
-        piece = window[a:b]
-        if kind == "phone":
-            piece = re.sub(r"^\+[0-9]{1,3} (?=\()", "", piece).lstrip("+")
-            if not 9 <= len(only_digits(piece)) <= 15:
-                piece = window[a:b].lstrip("+")
-            if (mark := SEPARATORS[variant]) is not None:
-                piece = mark.join(re.findall("[0-9]+", piece))
-        elif kind == "email":
-            name, _, host = piece.partition("@")
-            at, dot = SIGNS[variant]
-            piece = f"{name}{at}{host.replace('.', dot)}"
+        piece = piece_of(window[a:b], kind)
         out += window[done:a]
-        new.append((len(out), len(out) + len(piece), kind))
-        out, done = out + piece, b
+        if entity or piece is None:
+            new.append((len(out), len(out) + len(window[a:b] if piece is None else piece), kind))
+        out, done = out + (window[a:b] if piece is None else piece), b
     return out + window[done:], new
 
 
+def disguised(window: str, spans: list[Span], variant: int = 0) -> tuple[str, list[Span]]:
+    """The window with its entities written as the patterns don't expect."""
+
+    def piece_of(piece: str, kind: str) -> str:
+        if kind == "phone":
+            short = re.sub(r"^\+[0-9]{1,3} (?=\()", "", piece).lstrip("+")
+            piece = short if 9 <= len(only_digits(short)) <= 15 else piece.lstrip("+")
+            mark, lengths = SEPARATORS[variant], PHONE_GROUPS[variant]
+            return piece if mark is None else mark.join(_grouped(only_digits(piece), lengths) if lengths else re.findall("[0-9]+", piece))
+        if kind == "email":
+            name, _, host = piece.partition("@")
+            at, dot = SIGNS[variant % 3]
+            return f"{name}{at}{host.replace('.', dot)}"
+        if kind == "card":
+            return CARD_MARKS[variant].join(_grouped(only_digits(piece), CARD_GROUPS[variant]))
+        return IP_DOTS[variant % 3].join(piece.split("."))
+
+    return _rewritten(window, spans, piece_of, True)
+
+
+def lookalike(window: str, spans: list[Span], variant: int = 0) -> tuple[str, list[Span]]:
+    """The window with its telephone numbers, cards and ip addresses turned into numbers of other kinds; addresses stay."""
+
+    def piece_of(piece: str, kind: str) -> str | None:
+        d, form = only_digits(piece), variant % 3
+        if kind == "phone":
+            day = f"20{d[0]}{d[1]}-0{int(d[2]) % 9 + 1}-1{d[3]}"
+            if variant < 3:
+                return (f"{day} 1{d[4]}:2{d[5]}:3{d[6]}", f"#{d}", f"978-{d[0]}-{d[1:3]}-{d[3:9].ljust(6, '1')}-{d[-1]}")[form]
+            return (f"{day.replace('-', '.')} 1{d[4]}.3{d[5]}", d[:10], f"978-{d[:3]}-{d[3:8]}-{d[-2]}-{d[-1]}")[form]
+        if kind == "card":
+            return (f"{d[:-7]}.{d[-7:]}", f"{d[:3]}/{d[3:]}", f"{d[0]}.{d[1:]}")[form]
+        if kind == "ip":
+            return (piece.replace(".", " . ") + f" . {d[0]}", f"{d[0]} . " + piece.replace(".", " . "), f"{piece.replace('.', '[.]')}[.]{d[-1]}")[form]
+        return None
+
+    return _rewritten(window, spans, piece_of, False)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, of_document: int = OF_DOCUMENT) -> SemiCrf:
     """Learn from at most ``sample`` windows of (text), ``of_document`` of one text; the same rows give the same weights."""
 
@@ -303,8 +364,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, of_document: int = OF_DOCUMENT) -
     for r in rows:
         spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in r.spans.split(",") if x)
         examples.append(example(r.window, spans))
-        if any(k in ("phone", "email") for _, _, k in spans):
-            examples += [example(*disguised(r.window, spans, v)) for v in range(VARIANTS)]
+        if spans:
+            examples += [example(*make(r.window, spans, v)) for make in (disguised, lookalike) for v in range(VARIANTS)]
     return SemiCrf.fit(examples) if any(g for _, _, g in examples) else SemiCrf()
 
 
